@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, exact_dedup, token_counts
+from tessera.llm import bpe, chat, exact_dedup, near_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(conversations))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), token_counts.vocabulary())
 
@@ -31,7 +35,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_exact_dedup, op5_chat_formatting, op8_token_counts, op9_byte_bpe)
+    f.__name__: f for f in (op4_exact_dedup, op5_chat_formatting, op6_minhash_dedup, op8_token_counts, op9_byte_bpe)
 }
 
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE}
