@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, texts_of
+from tessera.llm.common import python_pass, slices, texts_of
 
 #: Pre-tokens that a worker remembers; beyond it, it forgets all but the vocabulary.
 CACHED = 150_000
@@ -137,7 +137,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = encoder(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, ids binary")
+    return python_pass(texts_of(docs), run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -149,7 +149,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [decoder(x or b"") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return python_pass(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary")
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import python_pass, slices
 
 START, SEP, END = b"<|im_start|>", b"<|im_sep|>", b"<|im_end|>\n"
 _CONTROL = re.compile(r"<(?=\\*(?:\||/?s>))|\[(?=\\*/?INST\])")
@@ -121,7 +121,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(_format, PARTS)
+    return python_pass(dealt.select("conv_id", "role", "text"), _format, PARTS)
 
 
 class _Digest:
@@ -179,7 +179,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(parts: DataFrame) -> DataFrame:
     """What the formatted parts say, read back from them: a row for each conversation."""
-    return parts.mapInArrow(_read_back, DIGESTS)
+    return python_pass(parts, _read_back, DIGESTS)
 
 
 def with_control_strings(spark: SparkSession, conversations: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, flagged, mix, slices, texts_of, without
+from tessera.llm.common import cut, flagged, mix, python_pass, slices, texts_of, without
 from tessera.llm.components import connected_components
 
 WORDS = 5
@@ -91,7 +91,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a digest of the set, and its minima."""
-    return texts_of(docs).mapInArrow(_sign, "doc_id long, n_shingles long, set_id binary, minima binary")
+    return python_pass(texts_of(docs), _sign, "doc_id long, n_shingles long, set_id binary, minima binary")
 
 
 def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,6 +102,13 @@ def _minima_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, HASHES)
 
 
+def _linked(p: np.ndarray, q: np.ndarray) -> bool:
+    if 100 * min(len(p), len(q)) < PERCENT * max(len(p), len(q)):
+        return False
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return common > 0 and 100 * common >= PERCENT * (len(p) + len(q) - common)
+
+
 def _keep_agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 4096):
         if batch.num_rows:
@@ -115,8 +122,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linked = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             p, q = cached(x), shingles(y)
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            linked.append(common > 0 and 100 * common >= PERCENT * (len(p) + len(q) - common))
+            linked.append(_linked(p, q))
         mask = pa.array(linked, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
@@ -131,7 +137,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The links (u, v) among the pairs (a, b), by their full sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = flagged(texts_of(docs), ids, "doc_id").filter("_hit").select("doc_id", "text")
-    return _with_both(pairs, texts, "text").mapInArrow(_confirm, "u long, v long")
+    return python_pass(_with_both(pairs, texts, "text"), _confirm, "u long, v long")
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -163,36 +169,60 @@ def _blocks(members: DataFrame) -> DataFrame:
     to_top = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts_top") - 1), lambda j: F.struct(F.lit(1).alias("kind"), F.col("part").alias("i"), j.alias("j")))
     from_top = F.transform(rest, lambda i: F.struct(F.lit(1).alias("kind"), i.alias("i"), F.col("part").alias("j")))
     meets = F.when(F.col("main"), from_top).otherwise(F.concat(to_rest, to_top))
-    return rows.withColumn("part", part).select("band", "key", "doc_id", "component", "main", "minima", F.explode(meets).alias("m")).select(
-        F.xxhash64("band", "key", "m.kind", "m.i", "m.j").alias("block"), "doc_id", "component", "minima"
-    )
+    copies = rows.withColumn("part", part).select("band", "key", "doc_id", "component", "minima", "text", F.explode(meets).alias("m"))
+    return copies.select(F.xxhash64("band", "key", "m.kind", "m.i", "m.j").alias("block"), "band", "doc_id", "component", "minima", "text")
+
+
+def _links_of_block(band: int, docs: list[int], components: list[int], signs: list[bytes], texts: list[str]) -> list[tuple[int, int]]:
+    """Confirmed links that join the block's components; a pair whose components are joined already needs no look.
+
+    A pair that shares an earlier band as well is left to that band's bucket.
+    """
+    c = np.array(components, np.int64)
+    s = np.frombuffer(b"".join(signs), "<u4").reshape(-1, BANDS, ROWS)
+    sets: dict[int, np.ndarray] = {}
+    parent = {x: x for x in components}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def full(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingles(texts[i])
+        return sets[i]
+
+    links = []
+    for i in range(len(docs) - 1):
+        other = i + 1 + np.flatnonzero(c[i + 1 :] != c[i])
+        same = s[other] == s[i]
+        near = (same.sum(axis=(1, 2)) >= AGREE) & ~same[:, :band].all(axis=2).any(axis=1)
+        for j in other[near]:
+            x, y = root(components[i]), root(components[j])
+            if x != y and _linked(full(i), full(j)):
+                parent[max(x, y)] = min(x, y)
+                links.append((docs[i], docs[j]))
+    return links
 
 
 def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block, of different components, whose minima agree; blocks follow each other, and one is held at a time."""
-
-    def pairs(docs: list[int], components: list[int], signs: list[bytes]) -> pa.RecordBatch:
-        d, c = np.array(docs, np.int64), np.array(components, np.int64)
-        s = np.frombuffer(b"".join(signs), "<u4").reshape(-1, HASHES)
-        found = []
-        for i in range(len(d) - 1):
-            other = i + 1 + np.flatnonzero(c[i + 1 :] != c[i])
-            near = other[_agreeing(s[other], s[i]) >= AGREE]
-            found += [(min(d[i], x), max(d[i], x)) for x in d[near]]
-        found = sorted({*found})
-        return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    block, held = None, ([], [], [])
-    for batch in slices(batches, 4096):
-        for b, *row in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-            if b != block:
+    """Blocks follow each other within a partition, and one is held at a time."""
+
+    def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    block, band, held = None, 0, ([], [], [], [])
+    for batch in slices(batches):
+        for now, at, *row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
+            if now != block:
                 if held[0]:
-                    yield pairs(*held)
-                block, held = b, ([], [], [])
+                    yield batch_of(_links_of_block(band, *held))
+                block, band, held = now, at, ([], [], [], [])
             for column, value in zip(held, row, strict=True):
                 column.append(value)
     if held[0]:
-        yield pairs(*held)
+        yield batch_of(_links_of_block(band, *held))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -209,7 +239,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     keyed = bands.withColumn("z", F.pmod("key", F.lit(2)))
     members = cut(keyed.join(buckets.withColumn("z", F.pmod("key", F.lit(2))), ["band", "key", "z"]).select("band", "key", "hub", "doc_id"))
     pairs = members.filter("hub != doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    agreeing = cut(_with_both(pairs, reps, "minima").select("a", "b", "x", "y").mapInArrow(_keep_agreeing, "a long, b long"))
+    agreeing = cut(python_pass(_with_both(pairs, reps, "minima"), _keep_agreeing, "a long, b long"))
     links = cut(confirmed(agreeing, docs))
     components = connected_components(links)
 
@@ -221,11 +251,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     open_buckets = mixed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("band", "key")
     unsettled = mixed.withColumn("z", F.pmod("key", F.lit(2))).join(open_buckets.withColumn("z", F.pmod("key", F.lit(2))), ["band", "key", "z"], "left_semi").drop("z")
     unsettled = cut(unsettled.distinct().join(reps, "doc_id"))
-    blocks = _blocks(unsettled).repartition("block").sortWithinPartitions("block")
-    more = cut(blocks.mapInArrow(_compare_blocks, "a long, b long").distinct())
-    # what has been confirmed or refused once isn't compared again
-    more = more.join(agreeing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    late = cut(confirmed(more, docs))
+    ids = unsettled.select("doc_id").distinct()
+    texts = flagged(texts_of(docs), ids, "doc_id").filter("_hit").select("doc_id", "text")
+    blocks = _blocks(unsettled.join(texts, "doc_id")).repartition("block").sortWithinPartitions("block")
+    late = cut(python_pass(blocks, _compare_blocks, "u long, v long"))
     if not late.isEmpty():
         components = connected_components(links.unionByName(late))
 

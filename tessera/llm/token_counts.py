@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import byte_characters
-from tessera.llm.common import slices, texts_of
+from tessera.llm.common import python_pass, slices, texts_of
 
 #: The pre-tokens of the word-end vocabulary after normalisation; a fixed value of its definition.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -116,4 +116,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
                 ["doc_id", "n_bytes", "n_tokens"],
             )
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return python_pass(texts_of(docs), run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
