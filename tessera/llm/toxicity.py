@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return _fit(names, [r.ids for r in sparse], np.array([r.toxic for r in sparse]), np.array([r.n for r in sparse], float))
 
 
-def _fit(names: list[str], rows: list[list[int]], toxic: np.ndarray, times: np.ndarray, steps: int = 400, ridge: float = 1e-4) -> Model:
+def _fit(names: list[str], rows: list[list[int]], toxic: np.ndarray, times: np.ndarray, steps: int = 600, ridge: float = 3e-5) -> Model:
     """Weighted maximum likelihood by Adam steps over all rows."""
     sizes = np.array([len(r) for r in rows])
     grade = np.where(toxic == 1, np.where(sizes >= np.median(np.repeat(sizes[toxic == 1], times[toxic == 1].astype(int))), 2, 1), 0)
