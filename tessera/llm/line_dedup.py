@@ -26,25 +26,37 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, flagged, texts_of
 
 MIN_WORDS = 5
+HALVES = ("a", "b", "c", "d")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no from 0, words, and two hashes that identify the line."""
-    rows = texts_of(docs).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    words = F.filter(F.split("line", r"[ \t\x0B\f\r]+", -1), lambda w: w != "")
-    return rows.select("doc_id", "line_no", words.alias("words")).select(
-        "doc_id", "line_no", "words", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words", F.size("words")).alias("g"), F.size("words").alias("n")
-    )
+def _words(line: Column) -> Column:
+    """The words of a line. Blanks alone are split without a regular expression, which is much faster."""
+    other = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        other = other | F.contains(line, F.lit(c))
+    pieces = F.when(other, F.split(line, r"[ \t\x0B\f\r]+", -1)).otherwise(F.split(line, " ", -1))
+    return F.filter(pieces, lambda w: w != "")
+
 
+def _half(words: Column, length: Column, tail: bool) -> Column:
+    start = F.size(words) - length + 1 if tail else F.lit(1)
+    return F.xxhash64(F.lit(tail), length, F.slice(words, start, length))
 
-def _halves(words: Column, n: Column) -> Column:
-    """The halves that a line has in common with a match of its length or one more or less, as hashes."""
-    keys = []
-    for length in (F.floor(n / 2), F.floor((n - 1) / 2)):
-        length = length.cast("int")
-        keys.append(F.xxhash64(F.lit("head"), length, F.slice(words, F.lit(1), length)))
-        keys.append(F.xxhash64(F.lit("tail"), length, F.slice(words, n - length + 1, length)))
-    return F.array_distinct(F.array(*keys))
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no from 0, number of words n, two hashes that identify the line, and the halves a to d.
+
+    The halves are those that a line has in common with a match of its length or of one word more or less.
+    """
+    rows = texts_of(docs).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    rows = rows.select("doc_id", "line_no", _words(F.col("line")).alias("words"))
+    words, n = F.col("words"), F.size("words")
+    long, short = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    halves = [_half(words, k, tail) for k in (long, F.greatest(short, F.lit(0))) for tail in (False, True)]
+    return rows.select(
+        "doc_id", "line_no", n.alias("n"), F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words", n).alias("g"),
+        *[F.when(n >= MIN_WORDS - 1, half).alias(name) for half, name in zip(halves, HALVES, strict=True)],
+    )
 
 
 def _variants(words: Column, n: Column) -> Column:
@@ -64,20 +76,30 @@ def _one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(b) == n, substituted).when(F.size(b) == n + 1, inserted).otherwise(False)
 
 
-def matches(lines: DataFrame) -> DataFrame:
-    """h, g and the earliest earlier match (doc_id, line_no) of each distinct line that has one."""
-    distinct = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("n").alias("n")).filter(F.col("n") >= MIN_WORDS - 1)
-    # the words of a line are read again where it first occurs, rather than dragged through the aggregate
-    firsts = cut(distinct.select("h", "g", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l")))
-    found = flagged(lines.filter(F.col("n") >= MIN_WORDS - 1), firsts, "h").filter("_hit")
-    same = [F.col("x.h") == F.col("f.h"), F.col("x.g") == F.col("f.g"), F.col("x.doc_id").eqNullSafe(F.col("f.d")), F.col("x.line_no") == F.col("f.l")]
-
-    halves = lines.filter(F.col("n") >= MIN_WORDS - 1).select("h", F.explode(_halves(F.col("words"), F.col("n"))).alias("half"))
+def _alike(lines: DataFrame) -> DataFrame:
+    """h, g, doc_id and line_no where it first occurs, of distinct lines that have half of another one."""
+    first = F.min(F.struct("doc_id", "line_no")).alias("first")
+    distinct = cut(lines.filter(F.col("n") >= MIN_WORDS - 1).groupBy("h", "g").agg(first, *[F.max(x).alias(x) for x in HALVES]))
+    halves = distinct.select("h", "g", "first", F.explode(F.array_distinct(F.array(*HALVES))).alias("half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo != hi").select("half")
-    alike = flagged(halves, shared, "half").filter("_hit").select("h")
-    found = flagged(found.drop("_hit"), alike, "h").filter("_hit")
-    words = found.alias("x").join(firsts.alias("f"), [same[0], same[1], same[2], same[3]], "left_semi").select("h", "g", "doc_id", "line_no", "words", "n").dropDuplicates(["h", "g"])
-    words = cut(words)
+    hit = flagged(halves, shared, "half").filter("_hit")
+    return cut(hit.groupBy("h", "g").agg(F.min("first").alias("first")).select("h", "g", "first.doc_id", "first.line_no"))
+
+
+def _with_words(docs: DataFrame, alike: DataFrame) -> DataFrame:
+    """``alike`` with words and n, read again where the lines first occur; other documents aren't split."""
+    rows = flagged(texts_of(docs), alike.select("doc_id").distinct(), "doc_id").filter("_hit")
+    rows = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    rows = flagged(rows, alike, "doc_id", "line_no").filter("_hit").select("doc_id", "line_no", _words(F.col("line")).alias("words"))
+    rows = rows.select("doc_id", "line_no", "words", F.xxhash64("words").alias("h"), F.size("words").alias("n"))
+    same = F.col("x.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("x.line_no") == F.col("f.line_no")) & (F.col("x.h") == F.col("f.h"))
+    joined = rows.alias("x").join(alike.alias("f"), same).select("f.h", "f.g", "f.doc_id", "f.line_no", "words", "n")
+    return cut(joined.dropDuplicates(["h", "g"]))
+
+
+def matches(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """h, g and the earliest earlier match (doc_id, line_no) of each distinct line that has one."""
+    words = _with_words(docs, _alike(lines))
 
     place = F.struct("doc_id", "line_no")
     spread = words.select("h", "g", place.alias("at"), "n", F.explode(_variants(F.col("words"), F.col("n"))).alias("v")).select("h", "g", "at", "n", "v.i", "v.key")
@@ -99,9 +121,9 @@ def matches(lines: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """For each line of ``docs``: doc_id, line_no, kept, and the line that it repeats or else itself (keep_doc_id, keep_line_no)."""
-    lines = lines_of(docs)
+    lines = cut(lines_of(docs))
     first = lines.filter("n > 0").groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("n").alias("n"))
-    near = first.join(matches(lines), ["h", "g"], "left").select("h", "g", "n", F.coalesce("match", "first").alias("keep"))
+    near = first.join(matches(docs, lines), ["h", "g"], "left").select("h", "g", "n", F.coalesce("match", "first").alias("keep"))
     rows = lines.select("doc_id", "line_no", "h", "g", "n").join(near, ["h", "g", "n"], "left")
     keep = F.coalesce("keep", F.struct("doc_id", "line_no"))
     return rows.select(
