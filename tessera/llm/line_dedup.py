@@ -102,7 +102,9 @@ def matches(docs: DataFrame, lines: DataFrame) -> DataFrame:
     words = _with_words(docs, _alike(lines))
 
     place = F.struct("doc_id", "line_no")
-    spread = words.select("h", "g", place.alias("at"), "n", F.explode(_variants(F.col("words"), F.col("n"))).alias("v")).select("h", "g", "at", "n", "v.i", "v.key")
+    # three joins read the variants; making them takes longer than reading them back
+    spread = cut(words.select("doc_id", "line_no", "n", F.explode(_variants(F.col("words"), F.col("n"))).alias("v")).select("doc_id", "line_no", "n", "v.i", "v.key"))
+    spread = spread.select("n", "i", "key", place.alias("at"))
     z = F.pmod("key", F.lit(2))
     substitutions = spread.filter(F.col("n") >= MIN_WORDS).withColumn("z", z)
     hubs = substitutions.groupBy("key", "i", "n").agg(F.min("at").alias("hub"), F.max("at").alias("last")).filter("hub < last").withColumn("z", z)
