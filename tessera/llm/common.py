@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _SHIPPED: set[str] = set()
 
@@ -32,9 +33,18 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def python_pass(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package on the executors."""
-    ship(rows.sparkSession)
+#: Rows that go to a Python worker at a time; Spark's own 10,000 are 30 MB of texts, in and out, for each of its tasks.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def python_pass(rows: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with this package on the executors and short batches, which hold for the session from then on."""
+    spark = rows.sparkSession
+    ship(spark)
+    now = int(spark.conf.get(_BATCH))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return rows.mapInArrow(function, schema)
 
 
@@ -111,6 +121,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def mix(x: np.ndarray) -> np.ndarray:

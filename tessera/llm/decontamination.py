@@ -32,7 +32,7 @@ GRAM = 3
 EDITED = 0.2
 SCORE = 0.7
 BLOCK_BYTES = 4_000_000
-CACHED = 500_000
+CACHED = 200_000
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 

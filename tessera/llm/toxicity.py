@@ -35,7 +35,7 @@ MIN_DOCS, Z = 4, 5.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Probability of grade 1 or higher from which a document is rejected.
 REJECT = 0.5
-CACHED = 300_000
+CACHED = 100_000
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
