@@ -71,6 +71,8 @@ def ascii_lower(text: Column) -> Column:
 
 #: Bits of a key filter: 2,048 bitmaps of 4 KB, 8 MB in all, however many keys there are.
 FILTER_BITS = 26
+#: Names that no table has.
+_BUCKET, _BITS, _KEY, _FLAG = (f"__tessera_{x}" for x in ("bucket", "bits", "key", "flag"))
 
 
 def _slot(*columns: str) -> tuple[Column, Column]:
@@ -82,16 +84,16 @@ def _slot(*columns: str) -> tuple[Column, Column]:
 def key_filter(keys: DataFrame, *columns: str) -> DataFrame:
     """A hashed bitmap of the keys, of bounded size; what it lacks is no key, and it may hold what is none."""
     bucket, bit = _slot(*columns)
-    return keys.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    return keys.select(bucket.alias(_BUCKET), bit.alias("_bit")).groupBy(_BUCKET).agg(F.bitmap_construct_agg("_bit").alias(_BITS))
 
 
 def flagged(rows: DataFrame, keys: DataFrame, *columns: str, name: str = "_hit") -> DataFrame:
     """``rows`` with a flag that is false only for rows whose key isn't among ``keys``. The bitmap is broadcast; the rows stay put."""
     bucket, bit = _slot(*columns)
-    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(_BITS, F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1
-    joined = rows.withColumn("_bucket", bucket).join(F.broadcast(key_filter(keys, *columns)), "_bucket", "left")
-    return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_bucket", "_bits")
+    joined = rows.withColumn(_BUCKET, bucket).join(F.broadcast(key_filter(keys, *columns)), _BUCKET, "left")
+    return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop(_BUCKET, _BITS)
 
 
 def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
@@ -99,11 +101,11 @@ def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
 
     Rows that a bitmap of the lost ids clears stay where they are; the others are dealt out and compared.
     """
-    lost = lost.select(F.col("doc_id").alias("_key"))
-    marked = flagged(docs.withColumn("_key", F.col("doc_id").cast("long")), lost, "_key")
-    same = F.col("m._key").eqNullSafe(F.col("l._key"))
-    checked = marked.filter("_hit").alias("m").join(lost.alias("l"), same, "left_anti")
-    return marked.filter("NOT _hit").unionByName(checked).select(*[F.col(c) for c in docs.columns])
+    lost = lost.select(F.col("doc_id").alias(_KEY))
+    marked = flagged(docs.withColumn(_KEY, F.col("doc_id").cast("long")), lost, _KEY, name=_FLAG)
+    same = F.col(f"m.{_KEY}").eqNullSafe(F.col(f"l.{_KEY}"))
+    checked = marked.filter(F.col(_FLAG)).alias("m").join(lost.alias("l"), same, "left_anti")
+    return marked.filter(~F.col(_FLAG)).unionByName(checked).drop(_KEY, _FLAG)
 
 
 def sha256_of(text: Column) -> Column:

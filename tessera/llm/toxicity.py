@@ -77,15 +77,21 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Toxic and clean rows of each feature, in parts that another step adds up."""
+
+    def part() -> pa.RecordBatch:
+        names = list(seen[0].keys() | seen[1].keys())
+        columns = [pa.array([seen[k][f] for f in names], pa.int64()) for k in (1, 0)]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *columns], ["f", "toxic", "clean"])
+
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for batch in slices(batches):
+    for batch in slices(batches, 64):
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             seen[toxic].update({f for w in words(text) for f in features(w)})
-    names = [f for f, n in seen[1].items()]  # what no toxic row of this part has still counts below
-    names += [f for f in seen[0] if f not in seen[1]]
-    for i in range(0, len(names), 50_000):
-        part = names[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array([seen[k][f] for f in part], pa.int64()) for k in (1, 0)]], ["f", "toxic", "clean"])
+        if len(seen[0]) + len(seen[1]) > CACHED:
+            yield part()
+            seen = (Counter(), Counter())
+    yield part()
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
