@@ -48,6 +48,10 @@ MARKS = set(
     "related recommended recommendations recommendation popular trending more-stories readmore "
     "comment comments commentlist disqus respond reply replies discussion widget widgets pagination pager skip-link skiplink".split()
 )
+#: Words that turn a mark into its absence or its layout: class="no-sidebar", class="has-menu".
+ABSENT = {"no", "has", "with", "without", "hide"}
+#: Classes, whole, by which an article element of its own is a reader's comment, an advert or a teaser.
+SIDE_ARTICLES = {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related", "teaser"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
@@ -68,22 +72,31 @@ LABELLED = (
     "<blockquote>what someone said at length</blockquote><pre>code line</pre><p>last words of the text</p></div><!--]--><ul><li><a>next</a></li></ul><hr></body>",
     "<body><table><tr><td><a>menu</a></td></tr></table><!--[--><main><h1>main title</h1><h3>sub title</h3><p>a paragraph <em>with stress</em> and <strong>weight</strong> in it</p>"
     "<figure><figcaption>what the picture shows</figcaption></figure><p>closing paragraph</p></main><!--]--><section><ul><li><a>x</a></li><li><a>y</a></li></ul></section></body>",
+    "<body><div><a>start</a> <a>topics</a></div><!--[--><section><h1>a title</h1><div>first part of a text without paragraphs</div><div>second <span>part</span> of it</div>"
+    "<section><h2>a part</h2><div>third part</div><table><tr><th>name</th><th>size</th></tr><tr><td>one</td><td>two</td></tr></table></section><div>last part</div></section><!--]-->"
+    "<div><a>next</a> <a>back</a></div></body>",
 )
 
 
 def _is_chrome(name: str, attrs: str, in_article: bool) -> bool:
     if name in CHROME and not (name == "header" and in_article):
         return True
-    if not attrs or "=" not in attrs and "hidden" not in attrs.lower() or name in ("html", "body", "article", "main"):
+    if not attrs or "=" not in attrs and "hidden" not in attrs.lower() or name in ("html", "body", "main"):
         return False
     if _BARE_HIDDEN.search(attrs):
         return True
     for m in _ATTRIBUTE.finditer(attrs):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        key, given = m[1].lower(), m[2] or m[3] or m[4] or ""
+        value = given.lower()
         if key in ("class", "id"):
-            spaced = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower())
-            if MARKS.intersection(spaced):
-                return True
+            if name == "article":
+                if SIDE_ARTICLES.intersection(value.split()):
+                    return True
+                continue
+            for token in given.split():
+                spaced = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+                if spaced[0] not in ABSENT and MARKS.intersection(spaced):
+                    return True
         elif key == "role" and value in ROLES or key == "aria-hidden" and value == "true":
             return True
         elif key == "style" and "display:none" in value.replace(" ", ""):

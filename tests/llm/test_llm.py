@@ -259,6 +259,19 @@ def test_html(spark):
     assert html_text.extract(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div><a>Home</a> <a>News</a></div><div><h1>Title here</h1><div>First part of some words.</div><div>Second <i>part</i> of it.</div></div>", "Title here\nFirst part of some words.\nSecond part of it."),
+        ('<article><h1>A</h1><p>aa bb cc</p></article><article class="comment"><p>I disagree with all of this text and more</p></article>', "A\naa bb cc"),
+        ('<div class="wrap no-sidebar has-menu"><p>The text of the page.</p></div><div class="left sidebar"><p>words beside it</p></div>', "The text of the page."),
+        ('<body class="search"><article class="post category-news has-comments"><p>Words of it.</p><div class="share-buttons">Share!</div></article></body>', "Words of it."),
+    ],
+)
+def test_html_of_other_layouts(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_html_of_test_pages(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in registry.QUERIES["op1_html_text"](spark, SF).collect()}
