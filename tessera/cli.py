@@ -1,4 +1,4 @@
-"""Command line: ``python -m tessera.cli [sfDIR] [query]``; the default query is ``all``."""
+"""Command line: ``python -m tessera.cli [sfDIR] [query]``; the default query is ``all``; SQL text is run as it is."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import sys
 import time
 
 from tessera.plans.registry import REGISTRY
+from tessera.plans.sql import run_sql
 from tessera.session import build_session
 
 ALL = {
@@ -18,7 +19,7 @@ ALL = {
     "q9": ("q9", "q9_yearly"),
     "q13": ("q13",),
 }
-USAGE = f"usage: python -m tessera.cli [DATASET_DIR] [{'|'.join(ALL)}|all|help|QUERY]"
+USAGE = f"usage: python -m tessera.cli [DATASET_DIR] [{'|'.join(ALL)}|all|help|QUERY|'SELECT ...']"
 
 
 def main(args: list[str]) -> int:
@@ -27,6 +28,9 @@ def main(args: list[str]) -> int:
         if arg in ("help", "--help", "-h"):
             print(USAGE)
             return 0
+        if arg.lower().split(None, 1)[:1] in (["select"], ["with"]):
+            run_sql(build_session("tessera-cli"), folder, arg).show(truncate=False)
+            return 0
         if "/" in arg:
             folder = arg
         else:

@@ -1,7 +1,13 @@
-"""Column expressions. Money is decimal, so a sum doesn't depend on the order of the rows."""
+"""Column expressions. Money is summed exactly, so a sum doesn't depend on the order of the rows.
+
+Sums run over whole numbers of a small unit: long arithmetic stays in generated code, where a decimal of each row would be an
+object. Values beyond decimal(12,2) overflow a long and raise in ANSI mode.
+"""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,19 +25,39 @@ def disc_price() -> Column:
     return price() * (F.lit(1) - rate("l_discount"))
 
 
-def charge() -> Column:
-    """price * (1 - discount) * (1 + tax)"""
-    return disc_price() * (F.lit(1) + rate("l_tax"))
+def hundredths(name: str) -> Column:
+    """A column of at most two decimals as a whole number of hundredths."""
+    return F.floor(F.col(name).cast("double") * 100 + 0.5)
+
+
+def disc_price_units() -> Column:
+    """price * (1 - discount), in 1/10^4"""
+    return hundredths("l_extendedprice") * (F.lit(100) - hundredths("l_discount"))
+
+
+def charge_units() -> Column:
+    """price * (1 - discount) * (1 + tax), in 1/10^6"""
+    return disc_price_units() * (F.lit(100) + hundredths("l_tax"))
+
+
+def revenue_units() -> Column:
+    """price * discount, in 1/10^4"""
+    return hundredths("l_extendedprice") * hundredths("l_discount")
+
 
+def profit_units(cost: str = "ps_supplycost") -> Column:
+    """price * (1 - discount) - supply cost * quantity, in 1/10^4"""
+    return disc_price_units() - hundredths(cost) * hundredths("l_quantity")
 
-def revenue() -> Column:
-    """price * discount"""
-    return price() * rate("l_discount")
 
+def exact_sum(units: Column, places: int) -> Column:
+    """The sum of whole numbers of 10^-places as a decimal; null over no rows.
 
-def profit(cost: str = "ps_supplycost") -> Column:
-    """price * (1 - discount) - supply cost * quantity"""
-    return disc_price() - F.col(cost).cast("decimal(15,2)") * F.col("l_quantity").cast("decimal(12,2)")
+    Both parts of each number are summed as long: they hold out for 10^12 rows and more.
+    """
+    high = F.sum(F.shiftright(units, 20)).cast("decimal(20,0)")
+    low = F.sum(units.bitwiseAND((1 << 20) - 1)).cast("decimal(20,0)")
+    return (high * F.lit(Decimal(1 << 20)) + low).cast("decimal(30,0)") * F.lit(Decimal(1).scaleb(-places))
 
 
 def cents(column: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import exprs as X
 from tessera.operators import aggregation, joins, selection
 from tessera.plans import tpch
+from tessera.plans.sql import run_sql
 from tessera.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,11 @@ def _q6_sql(start: str, end: str) -> str:
 WHERE l_shipdate >= DATE '{start}' AND l_shipdate < DATE '{end}' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24"""
 
 
+def _as_sql(text: str) -> tuple[Query, str]:
+    """A query that is itself given as SQL."""
+    return lambda spark, sf_dir: run_sql(spark, sf_dir, text), text
+
+
 REGISTRY: dict[str, tuple[Query, str]] = {
     **{
         f"selection_lt_{v}": (_count_below(v), f"SELECT COUNT(*) AS n FROM lineitem WHERE l_partkey < {v}")
@@ -120,6 +126,10 @@ GROUP BY l_returnflag, l_linestatus""",
         "SELECT COUNT(*) AS n FROM part WHERE p_name LIKE '%red%'",
     ),
     "q13": (_plan(tpch.q13), f"SELECT c_count, COUNT(*) AS custdist FROM ({_Q13}) c GROUP BY c_count"),
+    "q3_sql": _as_sql(f"{_Q3} ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10"),
+    "q6_sql": _as_sql(_q6_sql(Q6_DATA.start, Q6_DATA.end)),
+    "q9_sql": _as_sql(f"SELECT nation, o_year, CAST(ROUND(profit, 2) AS DOUBLE) AS sum_profit FROM ({_Q9}) t ORDER BY nation, o_year DESC"),
+    "q13_sql": _as_sql(f"SELECT c_count, COUNT(*) AS custdist FROM ({_Q13}) c GROUP BY c_count ORDER BY custdist DESC, c_count DESC"),
     "q13_order_counts": (_plan(tpch.q13_order_counts), _Q13),
     "max_keys": (
         _plan(

@@ -53,9 +53,9 @@ def q1(t: Tables, p: Q1 = Q1()) -> DataFrame:
         rows.groupBy("l_returnflag", "l_linestatus")
         .agg(
             F.sum("l_quantity").cast("double").alias("sum_qty"),
-            X.as_double(F.sum(X.price())).alias("sum_base_price"),
-            X.as_double(F.sum(X.disc_price())).alias("sum_disc_price"),
-            X.as_double(F.sum(X.charge())).alias("sum_charge"),
+            X.as_double(X.exact_sum(X.hundredths("l_extendedprice"), 2)).alias("sum_base_price"),
+            X.as_double(X.exact_sum(X.disc_price_units(), 4)).alias("sum_disc_price"),
+            X.as_double(X.exact_sum(X.charge_units(), 6)).alias("sum_charge"),
             F.round(F.avg(F.col("l_quantity").cast("double")), 6).alias("avg_qty"),
             F.round(F.avg(F.col("l_extendedprice").cast("double")), 6).alias("avg_price"),
             F.round(F.avg(F.col("l_discount").cast("double")), 6).alias("avg_disc"),
@@ -92,7 +92,7 @@ def q3_groups(t: Tables, p: Q3 = Q3()) -> DataFrame:
     return (
         lines.join(orders, "l_orderkey")
         .groupBy("l_orderkey", "o_orderdate", "o_shippriority")
-        .agg(X.as_double(F.round(F.sum(X.disc_price()), 2)).alias("revenue"))
+        .agg(X.as_double(F.round(X.exact_sum(X.disc_price_units(), 4), 2)).alias("revenue"))
         .select("l_orderkey", "revenue", "o_orderdate", "o_shippriority")
     )
 
@@ -114,7 +114,7 @@ def q6(t: Tables, p: Q6 = Q6()) -> DataFrame:
         & F.col("l_discount").between(p.low, p.high)
         & (F.col("l_quantity") < p.quantity)
     )
-    return rows.agg(X.as_double(F.round(F.sum(X.revenue()), 2)).alias("revenue"))
+    return rows.agg(X.as_double(F.round(X.exact_sum(X.revenue_units(), 4), 2)).alias("revenue"))
 
 
 def derived_partsupp(lineitem: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def q9_by_nation_year(t: Tables, p: Q9 = Q9()) -> DataFrame:
         .join(places, "l_suppkey")
         .join(years, "l_orderkey")
         .groupBy("nation", "o_year")
-        .agg(F.sum(X.profit()).alias("profit"))
+        .agg(X.exact_sum(X.profit_units(), 4).alias("profit"))
     )
 
 

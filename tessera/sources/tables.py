@@ -9,9 +9,29 @@ from pyspark.sql import types as T
 from tessera.schemas import TABLES
 
 
+#: path -> state of the path and schema found then
+_SCHEMAS: dict[str, tuple[tuple[int, int], T.StructType]] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """Time of change and length of a path; None for patterns and where the store keeps no time."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    if found is None or len(found) != 1:
+        return None
+    return (found[0].getModificationTime(), found[0].getLen()) if found[0].getModificationTime() > 0 else None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of a dataset folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The Parquet table ``name`` of a dataset folder. Its schema is read again only when the path has changed."""
+    path = f"{sf_dir}/{name}.parquet"
+    state = _state(spark, path)
+    if state and path in _SCHEMAS and _SCHEMAS[path][0] == state:
+        return spark.read.schema(_SCHEMAS[path][1]).parquet(path)
+    rows = spark.read.parquet(path)
+    if state:
+        _SCHEMAS[path] = (state, rows.schema)
+    return rows
 
 
 def read_delimited(spark: SparkSession, path: str, name: str) -> DataFrame:

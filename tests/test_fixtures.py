@@ -1,13 +1,17 @@
 """Hand-computed fixtures over small delimited files, and the command line."""
 
 import datetime as dt
+import time
 
 import pytest
+from pyspark.sql import functions as F
 from tessera import cli
+from tessera.functions import exprs as X
 from tessera.operators import joins, selection
 from tessera.plans import tpch
+from tessera.report import report
 from tessera.schemas import TABLES
-from tessera.sources.tables import convert_to_parquet, read_delimited, validate_dataset
+from tessera.sources.tables import convert_to_parquet, read_delimited, table, validate_dataset
 from tessera.streaming.grouped import running_pricing_summary, stream_table
 
 FILL = {"int": "0", "string": "x", "date": "1995-01-01", "decimal(15,2)": "0.00"}
@@ -114,3 +118,28 @@ def test_stream_agrees_with_batch(spark, tmp_path):
 def test_cli(capsys):
     assert cli.main(["help"]) == 0 and "usage" in capsys.readouterr().out
     assert cli.main(["nothing"]) == 1
+
+
+def test_sql_from_the_command_line(capsys):
+    assert cli.main(["/root/testdata/sf0.001", "SELECT COUNT(*) AS n FROM lineitem, orders WHERE l_orderkey = o_orderkey"]) == 0
+    assert "6000" in capsys.readouterr().out
+
+
+def test_report(tmp_path):
+    (tmp_path / "a.csv").write_text("20260101_000000,0.1,q1,2.0\n20260102_000000,0.1,q1,0.5\n20260101_000000,0.1,q3,1.0\n")
+    (tmp_path / "b.csv").write_text("20260101_000000,0.1,q1,1.0\n")
+    assert report(str(tmp_path / "a.csv"), str(tmp_path / "b.csv")).splitlines()[2:] == ["| 0.1 | q1 | 0.5000 | 1.0000 | 2.00 |"]
+
+
+def test_schema_is_read_again_after_a_change(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    assert table(spark, str(tmp_path), "t").columns == table(spark, str(tmp_path), "t").columns == ["id"]
+    time.sleep(1.1)
+    spark.range(3).selectExpr("id AS other").write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+    assert table(spark, str(tmp_path), "t").columns == ["other"]
+
+
+def test_exact_sum(spark):
+    rows = spark.createDataFrame([(-7,), (2**45 + 3,), (2**45 + 4,), (None,)], "x long")
+    assert rows.agg(X.exact_sum(F.col("x"), 4).cast("string").alias("s")).first().s == "7036874417.7664"
+    assert rows.filter("x IS NULL").agg(X.exact_sum(F.col("x"), 4).alias("s")).first().s is None
