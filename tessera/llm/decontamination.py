@@ -113,6 +113,8 @@ class Index:
         # duplicates among an item's words make seeds that one occurrence meets twice; then one must do
         left = [len(w) - GRAM + 1 - GRAM * math.floor(EDITED * len(w)) for w in self.words]
         self.least = np.array([2 if n >= 2 else 1 for n in left], np.int64)
+        #: How far the diagonals of one occurrence may drift apart.
+        self.reach = np.array([max(1, math.floor(EDITED * len(w))) for w in self.words], np.int64)
 
     def matches(self, words: np.ndarray) -> list[tuple[int | None, float, int]]:
         """item_id, score and word position of the end, the best for each item that the words hold."""
@@ -127,7 +129,7 @@ class Index:
         order = np.lexsort((diagonal, item))
         item, diagonal = item[order], diagonal[order]
         found: dict[int, tuple[float, int]] = {}
-        reach = np.array([max(1, math.floor(EDITED * len(w))) for w in self.words])[item]
+        reach = self.reach[item]
         new = np.concatenate([[True], (item[1:] != item[:-1]) | (np.diff(diagonal) > reach[1:])])
         starts = np.flatnonzero(new)
         for a, b in zip(starts, [*starts[1:], len(item)], strict=True):
