@@ -11,8 +11,9 @@ that two needn't be left), the item is aligned to the words around them: match 2
 0.7 of the item's own score, which 20 % of edited words leave.
 
 Items of fewer than three words are not looked for; null texts count as empty; rows without doc_id or item_id are reported
-with a null. Rows that repeat a pair are reported for each. Empty tables give an empty result; other columns are left
-behind, but by ``keep_clean``, which returns the rows as they were.
+with a null. Documents that repeat a doc_id are reported for each; benchmark rows that repeat an item_id and its text are one
+item, so that no group of copies, however large, comes to the driver. Empty tables give an empty result; other columns are
+left behind, but by ``keep_clean``, which returns the rows as they were.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ class Index:
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """The items, at most about BLOCK_BYTES of text at a time."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES)
     for i in range(n):

@@ -39,10 +39,12 @@ RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "template",
 #: Elements that never hold the article.
 CHROME = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "header"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar", "status"}
+#: Classes and ids, whole, of a page's own header; "entry-header" and the like hold the title of the article.
+PAGE_HEADERS = {"header", "site-header", "top-header", "main-header", "global-header", "header-top", "header-main", "header-wrap", "header-wrapper", "header-container"}
 #: Words of a class or id that mark a part beside the article.
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promoted promotion banner banners "
-    "sidebar sidebars sidenav menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar "
+    "sidebar sidebars sidenav rail menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar "
     "cookie cookies consent gdpr notice notices notification notifications popup modal overlay lightbox alert paywall disclaimer copyright legal "
     "newsletter subscribe subscription signup login signin register search share sharing social follow "
     "related recommended recommendations recommendation popular trending more-stories readmore "
@@ -94,6 +96,8 @@ def _is_chrome(name: str, attrs: str, in_article: bool) -> bool:
                     return True
                 continue
             for token in given.split():
+                if not in_article and token.lower().replace("_", "-") in PAGE_HEADERS:
+                    return True
                 spaced = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
                 if spaced[0] not in ABSENT and MARKS.intersection(spaced):
                     return True

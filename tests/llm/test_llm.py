@@ -266,6 +266,8 @@ def test_html(spark):
         ('<article><h1>A</h1><p>aa bb cc</p></article><article class="comment"><p>I disagree with all of this text and more</p></article>', "A\naa bb cc"),
         ('<div class="wrap no-sidebar has-menu"><p>The text of the page.</p></div><div class="left sidebar"><p>words beside it</p></div>', "The text of the page."),
         ('<body class="search"><article class="post category-news has-comments"><p>Words of it.</p><div class="share-buttons">Share!</div></article></body>', "Words of it."),
+        ('<div id="header"><h1>Site name</h1><p>The best site of all for you</p></div><div><div class="entry-header"><h1>The title</h1></div><p>Words of the text.</p></div>', "The title\nWords of the text."),
+        ('<div class="page"><div class="article"><p>first second third</p></div><div class="right-rail"><p>Other stories you might like</p></div></div>', "first second third"),
     ],
 )
 def test_html_of_other_layouts(page, want):
@@ -305,10 +307,11 @@ def test_decontamination(spark):
         rows.append((i, " ".join(w.upper() if rnd.random() < 0.1 else w + rnd.choice(("", "", ",", '."')) for w in t)))
     clean = lambda t: [re.sub(r"^\W+|\W+$", "", w) for w in t.lower().split()]
     want = {(i, k) for i, t in rows for k, w in items if align_by_hand(w, clean(t)) >= decontamination.SCORE * 2 * len(w)}
-    benchmark = spark.createDataFrame([*[(k, " ".join(w), "x") for k, w in items], (90, None, "x"), (91, "two words", "x")], "item_id long, text string, score string")
+    benchmark = spark.createDataFrame([*[(k, " ".join(w), "x") for k, w in items], (0, " ".join(items[0][1]), "again"), (90, None, "x"), (91, "two words", "x")], "item_id long, text string, score string")
     odd = [(1000, None), (None, ""), (1001, "w1"), (1002, "." * 100_000)]
-    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs_of(spark, rows + odd), benchmark).collect()}
-    assert got <= want and len(want) > 40
+    found = [(r.doc_id, r.item_id) for r in decontamination.leaks(docs_of(spark, rows + odd), benchmark).collect()]
+    got = set(found)
+    assert len(found) == len(got) and got <= want and len(want) > 40
     # what the guarantee for 20 % of edits covers; beyond it, an alignment may still reach the score without two seeds
     sure = {(i, k) for i, k in want if align_by_hand(dict(items)[k], clean(dict(rows)[i])) >= 2 * len(dict(items)[k]) - 3 * int(0.2 * len(dict(items)[k])) + 2}
     assert sure <= got
