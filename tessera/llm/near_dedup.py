@@ -2,13 +2,14 @@
 
 A document is the set of its distinct shingles of five words, lower-cased in A-Z, words being runs of what isn't ASCII
 white space; with fewer words the whole sequence is one shingle; without words the set is empty and linked with nothing.
-Two documents are linked if 100 * intersection >= 85 * union of their full sets.
+Two documents are linked if 100 * intersection >= percent * union of their full sets; percent is 85 unless the caller says
+otherwise, and sets the number of bands and of minima (``Threshold``).
 
-1. One narrow pass makes for each document 125 universal hash minima and a digest of its set. Equal sets are one class, of
+1. One narrow pass makes for each document universal hash minima, 125 at 85 per cent, and a digest of its set. Equal sets are one class, of
    which only the smallest doc_id goes on: groups of copies, however large, are never compared.
-2. 25 bands of five minima deal the classes out into buckets; linked ones share none with a probability under one in a
-   million. Each member of a bucket is paired with the bucket's smallest id: as many pairs as members.
-3. Pairs whose minima agree too rarely (five standard deviations below 0.85) go; the others are confirmed on full sets.
+2. Bands of five minima, 25 at 85 per cent and 37 at 80, deal the classes out into buckets; linked ones share none with a
+   probability under one in a million. Each member of a bucket is paired with the bucket's smallest id: as many pairs as members.
+3. Pairs whose minima agree too rarely (five standard deviations below the threshold) go; the others are confirmed on full sets.
 4. Components of the confirmed links. Buckets that still hold several components are compared in blocks of bounded size:
    whatever isn't in the bucket's largest component, against all its other members but those of its own component. So any
    two members of one bucket are in one component or have been compared, and the components are those of all links.
@@ -27,6 +28,7 @@ import functools
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +39,49 @@ from tessera.llm.common import cut, flagged, mix, python_pass, slices, texts_of,
 from tessera.llm.components import connected_components
 
 WORDS = 5
-BANDS, ROWS = 25, 5
-HASHES = BANDS * ROWS
-#: Links have at least this per cent of their union in common.
+#: Minima of a band.
+ROWS = 5
+#: Links have at least this per cent of their union in common, unless the caller says otherwise.
 PERCENT = 85
-#: Fewer agreeing minima than this: five standard deviations below what a link at the threshold has.
-AGREE = math.floor(HASHES * PERCENT / 100 - 5 * math.sqrt(HASHES * PERCENT / 100 * (1 - PERCENT / 100)))
+#: A link at the threshold shares no band with at most this probability.
+MISSED = 5e-7
 #: Members of a bucket's part that meets another in one task.
 BLOCK = 256
 
-_RANDOM = np.random.default_rng(20260101)
-_A = _RANDOM.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RANDOM.integers(0, 2**63, HASHES, np.uint64)
-_C = _RANDOM.integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_C = np.random.default_rng(20260101).integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@dataclass(frozen=True)
+class Threshold:
+    """What follows from the per cent of their union that links have in common."""
+
+    percent: int
+
+    def __post_init__(self) -> None:
+        if not 0 < self.percent <= 100:
+            raise ValueError(f"no per cent of a union: {self.percent}")
+
+    @functools.cached_property
+    def bands(self) -> int:
+        shared = (self.percent / 100) ** ROWS
+        return math.ceil(math.log(MISSED) / math.log1p(-shared)) if shared < 1 else 1
+
+    @property
+    def hashes(self) -> int:
+        return self.bands * ROWS
+
+    @functools.cached_property
+    def agree(self) -> int:
+        """Fewer agreeing minima than this: five standard deviations below what a link at the threshold has."""
+        mean = self.hashes * self.percent / 100
+        return math.floor(mean - 5 * math.sqrt(mean * (1 - self.percent / 100)))
+
+
+@functools.lru_cache(maxsize=4)
+def _functions(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of the hash functions."""
+    random = np.random.default_rng(20260102)
+    return random.integers(0, 2**63, hashes, np.uint64) * np.uint64(2) + np.uint64(1), random.integers(0, 2**63, hashes, np.uint64)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -67,15 +99,16 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each hash function over the set, 32 bits of it."""
-    low = np.full(HASHES, np.iinfo(np.uint64).max)
+def minima(hashes: np.ndarray, count: int) -> np.ndarray:
+    """The least value of each of ``count`` hash functions over the set, 32 bits of it."""
+    factors, summands = _functions(count)
+    low = np.full(count, np.iinfo(np.uint64).max)
     for start in range(0, len(hashes), 1024):
-        np.minimum(low, (hashes[None, start : start + 1024] * _A[:, None] + _B[:, None]).min(axis=1), out=low)
+        np.minimum(low, (hashes[None, start : start + 1024] * factors[:, None] + summands[:, None]).min(axis=1), out=low)
     return (low >> np.uint64(32)).astype("<u4")
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], at: Threshold) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         sets = [shingles(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -83,46 +116,46 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column(0),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                pa.array([minima(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                pa.array([minima(s, at.hashes).tobytes() if len(s) else b"" for s in sets], pa.binary()),
             ],
             ["doc_id", "n_shingles", "set_id", "minima"],
         )
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, at: Threshold) -> DataFrame:
     """doc_id, n_shingles, a digest of the set, and its minima."""
-    return python_pass(texts_of(docs), _sign, "doc_id long, n_shingles long, set_id binary, minima binary")
+    return python_pass(texts_of(docs), functools.partial(_sign, at=at), "doc_id long, n_shingles long, set_id binary, minima binary")
 
 
 def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).sum(axis=-1)
 
 
-def _minima_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, HASHES)
+def _minima_of(column: pa.Array, count: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, count)
 
 
-def _linked(p: np.ndarray, q: np.ndarray) -> bool:
-    if 100 * min(len(p), len(q)) < PERCENT * max(len(p), len(q)):
+def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
         return False
     common = len(np.intersect1d(p, q, assume_unique=True))
-    return common > 0 and 100 * common >= PERCENT * (len(p) + len(q) - common)
+    return common > 0 and 100 * common >= percent * (len(p) + len(q) - common)
 
 
-def _keep_agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keep_agreeing(batches: Iterator[pa.RecordBatch], at: Threshold) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 4096):
         if batch.num_rows:
-            near = _agreeing(_minima_of(batch.column(2)), _minima_of(batch.column(3))) >= AGREE
+            near = _agreeing(_minima_of(batch.column(2), at.hashes), _minima_of(batch.column(3), at.hashes)) >= at.agree
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in range(2)], ["a", "b"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], at: Threshold) -> Iterator[pa.RecordBatch]:
     cached = functools.lru_cache(maxsize=64)(shingles)
     for batch in slices(batches, 256):
         linked = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             p, q = cached(x), shingles(y)
-            linked.append(_linked(p, q))
+            linked.append(_linked(p, q, at.percent))
         mask = pa.array(linked, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
@@ -133,17 +166,17 @@ def _with_both(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
     return pairs.join(of("b", "y"), "b").join(of("a", "x"), "a").select("a", "b", "x", "y")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, at: Threshold) -> DataFrame:
     """The links (u, v) among the pairs (a, b), by their full sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = flagged(texts_of(docs), ids, "doc_id").filter("_hit").select("doc_id", "text")
-    return python_pass(_with_both(pairs, texts, "text"), _confirm, "u long, v long")
+    return python_pass(_with_both(pairs, texts, "text"), functools.partial(_confirm, at=at), "u long, v long")
 
 
-def _bands(reps: DataFrame) -> DataFrame:
-    """band, key and doc_id: 25 rows for each class."""
+def _bands(reps: DataFrame, bands: int) -> DataFrame:
+    """band, key and doc_id: a row of each class for each band."""
     size = 4 * ROWS
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("minima", b * size + 1, size)).alias("key")) for b in range(BANDS)])
+    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("minima", b * size + 1, size)).alias("key")) for b in range(bands)])
     return reps.select("doc_id", F.explode(keys).alias("x")).select("x.band", "x.key", "doc_id")
 
 
@@ -173,13 +206,13 @@ def _blocks(members: DataFrame) -> DataFrame:
     return copies.select(F.xxhash64("band", "key", "m.kind", "m.i", "m.j").alias("block"), "band", "doc_id", "component", "minima", "text")
 
 
-def _links_of_block(band: int, docs: list[int], components: list[int], signs: list[bytes], texts: list[str]) -> list[tuple[int, int]]:
+def _links_of_block(band: int, docs: list[int], components: list[int], signs: list[bytes], texts: list[str], at: Threshold) -> list[tuple[int, int]]:
     """Confirmed links that join the block's components; a pair whose components are joined already needs no look.
 
     A pair that shares an earlier band as well is left to that band's bucket.
     """
     c = np.array(components, np.int64)
-    s = np.frombuffer(b"".join(signs), "<u4").reshape(-1, BANDS, ROWS)
+    s = np.frombuffer(b"".join(signs), "<u4").reshape(-1, at.bands, ROWS)
     sets: dict[int, np.ndarray] = {}
     parent = {x: x for x in components}
 
@@ -197,16 +230,16 @@ def _links_of_block(band: int, docs: list[int], components: list[int], signs: li
     for i in range(len(docs) - 1):
         other = i + 1 + np.flatnonzero(c[i + 1 :] != c[i])
         same = s[other] == s[i]
-        near = (same.sum(axis=(1, 2)) >= AGREE) & ~same[:, :band].all(axis=2).any(axis=1)
+        near = (same.sum(axis=(1, 2)) >= at.agree) & ~same[:, :band].all(axis=2).any(axis=1)
         for j in other[near]:
             x, y = root(components[i]), root(components[j])
-            if x != y and _linked(full(i), full(j)):
+            if x != y and _linked(full(i), full(j), at.percent):
                 parent[max(x, y)] = min(x, y)
                 links.append((docs[i], docs[j]))
     return links
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_blocks(batches: Iterator[pa.RecordBatch], at: Threshold) -> Iterator[pa.RecordBatch]:
     """Blocks follow each other within a partition, and one is held at a time."""
 
     def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -214,33 +247,34 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     block, band, held = None, 0, ([], [], [], [])
     for batch in slices(batches):
-        for now, at, *row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
+        for now, of_band, *row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
             if now != block:
                 if held[0]:
-                    yield batch_of(_links_of_block(band, *held))
-                block, band, held = now, at, ([], [], [], [])
+                    yield batch_of(_links_of_block(band, *held, at))
+                block, band, held = now, of_band, ([], [], [], [])
             for column, value in zip(held, row, strict=True):
                 column.append(value)
     if held[0]:
-        yield batch_of(_links_of_block(band, *held))
+        yield batch_of(_links_of_block(band, *held, at))
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """For each row of ``docs``: doc_id, n_shingles, component_id and kept."""
-    base = cut(signatures(docs))
+def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """For each row of ``docs``: doc_id, n_shingles, component_id and kept; links have ``percent`` of their union in common."""
+    at = Threshold(percent)
+    base = cut(signatures(docs, at))
     known = base.filter("doc_id IS NOT NULL")
     classes = known.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
     classes = cut(classes)
     ids = classes.select(F.col("rep").alias("doc_id")).distinct()
     reps = cut(known.filter("n_shingles > 0").join(ids, "doc_id", "left_semi").select("doc_id", "minima"))
 
-    bands = _bands(reps)
+    bands = _bands(reps, at.bands)
     buckets = bands.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub != last")
     keyed = bands.withColumn("z", F.pmod("key", F.lit(2)))
     members = cut(keyed.join(buckets.withColumn("z", F.pmod("key", F.lit(2))), ["band", "key", "z"]).select("band", "key", "hub", "doc_id"))
     pairs = members.filter("hub != doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    agreeing = cut(python_pass(_with_both(pairs, reps, "minima"), _keep_agreeing, "a long, b long"))
-    links = cut(confirmed(agreeing, docs))
+    agreeing = cut(python_pass(_with_both(pairs, reps, "minima"), functools.partial(_keep_agreeing, at=at), "a long, b long"))
+    links = cut(confirmed(agreeing, docs, at))
     components = connected_components(links)
 
     def labelled(rows: DataFrame, key: str) -> DataFrame:
@@ -254,7 +288,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     ids = unsettled.select("doc_id").distinct()
     texts = flagged(texts_of(docs), ids, "doc_id").filter("_hit").select("doc_id", "text")
     blocks = _blocks(unsettled.join(texts, "doc_id")).repartition("block").sortWithinPartitions("block")
-    late = cut(python_pass(blocks, _compare_blocks, "u long, v long"))
+    late = cut(python_pass(blocks, functools.partial(_compare_blocks, at=at), "u long, v long"))
     if not late.isEmpty():
         components = connected_components(links.unionByName(late))
 
@@ -264,6 +298,6 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents that a smaller doc_id stands for."""
-    return without(docs, near_dedup(docs).filter("NOT kept").select("doc_id"))
+    return without(docs, near_dedup(docs, percent).filter("NOT kept").select("doc_id"))

@@ -404,3 +404,28 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
         got = sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect())
         assert got == (["2", "4", "4", "5", "6", "7", "9"] if rows else [])
+
+
+def near_copies(seed=11):
+    """Pairs of texts whose similarity goes from about 0.7 to 0.95."""
+    rnd = random.Random(seed)
+    rows, n = [], itertools.count(1)
+    for i in range(60):
+        text = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+        copy = list(text)
+        for p in rnd.sample(range(0, 300, 6), 2 + i % 10):
+            copy[p] = "changed"
+        rows += [(next(n), " ".join(text)), (next(n), " ".join(copy))]
+    return rows
+
+
+def test_near_dedup_at_another_threshold(spark):
+    rows = near_copies()
+    sets = {i: shingles_by_hand(t) for i, t in rows}
+    shares = {(a, b): 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2)}
+    assert sum(80 <= x < 85 for x in shares.values()) >= 5 and sum(60 < x < 80 for x in shares.values()) >= 5
+    for percent in (85, 80):
+        want = components_by_hand(sets, [e for e, x in shares.items() if x >= percent])
+        assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs_of(spark, rows), percent).collect()} == want
+    kept = {r.doc_id for r in near_dedup.keep_one(docs_of(spark, rows), 80).collect()}
+    assert kept == {i for i, c in want.items() if i == c}
