@@ -73,7 +73,7 @@ def ascii_lower(text: Column) -> Column:
 #: Bits of a key filter: 2,048 bitmaps of 4 KB, 8 MB in all, however many keys there are.
 FILTER_BITS = 26
 #: Names that no table has.
-_BUCKET, _BITS, _KEY, _FLAG = (f"__tessera_{x}" for x in ("bucket", "bits", "key", "flag"))
+_BUCKET, _BITS, _KEY, _FLAG, _DIGEST = (f"__tessera_{x}" for x in ("bucket", "bits", "key", "flag", "digest"))
 
 
 def _slot(*columns: str) -> tuple[Column, Column]:
@@ -97,15 +97,20 @@ def flagged(rows: DataFrame, keys: DataFrame, *columns: str, name: str = "_hit")
     return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop(_BUCKET, _BITS)
 
 
-def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+def without(docs: DataFrame, lost: DataFrame, digest: Callable[[Column], Column] | None = None) -> DataFrame:
     """The rows of ``docs``, as they are, whose doc_id isn't among those of ``lost``.
 
-    Rows that a bitmap of the lost ids clears stay where they are; the others are dealt out and compared.
+    With ``digest``, a row goes only if ``lost`` also has, as digest, what that makes of its text: rows that share a doc_id, or
+    have none, are told apart. Rows that a bitmap of the lost ids clears stay where they are; the others are dealt out and compared.
     """
-    lost = lost.select(F.col("doc_id").alias(_KEY))
+    lost = lost.select(F.col("doc_id").alias(_KEY), *([F.col("digest").alias(_DIGEST)] if digest else []))
     marked = flagged(docs.withColumn(_KEY, F.col("doc_id").cast("long")), lost, _KEY, name=_FLAG)
     same = F.col(f"m.{_KEY}").eqNullSafe(F.col(f"l.{_KEY}"))
-    checked = marked.filter(F.col(_FLAG)).alias("m").join(lost.alias("l"), same, "left_anti")
+    unsure = marked.filter(F.col(_FLAG))
+    if digest:
+        unsure = unsure.withColumn(_DIGEST, digest(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+        same = same & (F.col(f"m.{_DIGEST}") == F.col(f"l.{_DIGEST}"))
+    checked = unsure.alias("m").join(lost.alias("l"), same, "left_anti").drop(_DIGEST)
     return marked.filter(~F.col(_FLAG)).unionByName(checked).drop(_KEY, _FLAG)
 
 

@@ -13,11 +13,12 @@ that two needn't be left), the item is aligned to the words around them: match 2
 Items of fewer than three words are not looked for; null texts count as empty; rows without doc_id or item_id are reported
 with a null. Documents that repeat a doc_id are reported for each; benchmark rows that repeat an item_id and its text are one
 item, so that no group of copies, however large, comes to the driver. Empty tables give an empty result; other columns are
-left behind, but by ``keep_clean``, which returns the rows as they were.
+left behind, but by ``keep_clean``, which returns the rows as they were and decides on each by its own text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, python_pass, slices, texts_of, without
+from tessera.llm.common import mix, python_pass, sha256_of, slices, texts_of, without
 
 GRAM = 3
 EDITED = 0.2
@@ -156,8 +157,11 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
         yield [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, score (of the item's own) and end_word for each document and each item that it holds."""
+_LEAK = "doc_id long, item_id long, score double, end_word long, digest string"
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``leaks`` and the SHA-256 of the document's text."""
     out: DataFrame | None = None
     for items in _blocks(benchmark):
         index = Index(items)
@@ -165,19 +169,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             cache = _Words()
             for batch in slices(batches):
-                rows = [
-                    (doc, *m)
-                    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                    for m in index.matches(word_hashes(text, cache))
-                ]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "item_id", "score", "end_word"])
-
-        part = python_pass(texts_of(docs), run, "doc_id long, item_id long, score double, end_word long")
+                rows = []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if found := index.matches(word_hashes(text, cache)):
+                        digest = hashlib.sha256(text.encode()).hexdigest()
+                        rows += [(doc, *m, digest) for m in found]
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string())
+                names = ["doc_id", "item_id", "score", "end_word", "digest"]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+        part = python_pass(texts_of(docs), run, _LEAK)
         out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, end_word long") if out is None else out
+    return docs.sparkSession.createDataFrame([], _LEAK) if out is None else out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, score (of the item's own) and end_word for each document and each item that it holds."""
+    return _leaks(docs, benchmark).drop("digest")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold an item."""
-    return without(docs, leaks(docs, benchmark).select("doc_id").distinct())
+    """``docs`` without the rows that hold an item."""
+    return without(docs, _leaks(docs, benchmark).select("doc_id", "digest").distinct(), sha256_of)

@@ -8,8 +8,8 @@ not hashed whole to find its group. Of equal texts the one with the largest doc_
 Groups are counted with map-side partial aggregates; no task gets a whole group. What is shuffled to find them are numbers
 and digests, never texts. Groups are joined back by shuffle, where adaptive execution splits a hot key.
 
-Rows that repeat a doc_id with the same text all count in group_size and share the verdict of their doc_id. Rows without a
-doc_id count too, and lose to any other. Further columns are left behind, but by ``keep_one``, which returns the rows as
+Rows that repeat a doc_id with the same text all count in group_size and share the verdict of their doc_id; with
+another text they have one of their own. Rows without a doc_id count too, and lose to any other of their text. Further columns are left behind, but by ``keep_one``, which returns the rows as
 they were. An empty table gives an empty result.
 """
 
@@ -69,8 +69,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that lose to an equal text. Only rows that may have lost are dealt out to be compared."""
     full, groups = equal_groups(docs)
-    lost = full.join(groups, ["digest", "size"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id")
-    return without(docs, lost)
+    lost = full.join(groups, ["digest", "size"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "digest")
+    return without(docs, lost, lambda text: sha256_of(ascii_lower(text)))
 
 
 ORACLE = """WITH t AS (

@@ -429,3 +429,16 @@ def test_near_dedup_at_another_threshold(spark):
         assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs_of(spark, rows), percent).collect()} == want
     kept = {r.doc_id for r in near_dedup.keep_one(docs_of(spark, rows), 80).collect()}
     assert kept == {i for i, c in want.items() if i == c}
+
+
+def test_rows_that_share_a_doc_id_are_dropped_one_by_one(spark):
+    item = "who was the first to cross the wide river on foot in winter"
+    rows = [(None, "A copy"), (1, "a copy"), (None, "alone"), (None, None), (2, "a COPY"), (2, "text of its own"), (1, "other text"), (3, item), (3, "clean é"), (None, f"x {item} y"), (4, item)]
+    by_id = lambda frame: sorted(((r.doc_id, r.text) for r in frame.collect()), key=repr)
+    query = exact_dedup.exact_dedup(docs_of(spark, rows)).filter("kept").select("doc_id", "text_sha256").collect()
+    kept = exact_dedup.keep_one(docs_of(spark, rows))
+    assert by_id(kept) == sorted([r for r, d in zip(rows, dedup_by_hand(rows), strict=True) if d[3]], key=repr)
+    assert sorted(map(repr, query)) == sorted(repr(r) for r in kept.select("doc_id", exact_dedup.sha256_of(exact_dedup.ascii_lower(exact_dedup.F.coalesce("text", exact_dedup.F.lit("")))).alias("text_sha256")).collect())
+    benchmark = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert by_id(decontamination.keep_clean(docs_of(spark, rows), benchmark)) == sorted([r for r in rows if item not in (r[1] or "")], key=repr)
+    assert decontamination.leaks(docs_of(spark, rows), benchmark).columns == ["doc_id", "item_id", "score", "end_word"]
