@@ -2,7 +2,8 @@
 
 A page is read once into events: tags and words. Words score what their share of words within the content of labelled pages is
 worth, tags cost by how often they stand outside of it; menus, footers, adverts and the like, told by element, role, class or id,
-are one event each, whatever they hold. A linear scan finds the contiguous run of events of the highest score; the blocks it
+are one event each, whatever they hold. Classes and ids that may as well name what a text is about tell them only of elements whose
+words are mostly links; headings are never told by them, nor is anything within an article but containers. A linear scan finds the contiguous run of events of the highest score; the blocks it
 touches are the text. White space within a block becomes one space, blocks are joined by line feeds in page order.
 
 Comments, scripts, styles and forms are no events. Elements that stay open to the end of the page end where an article or a
@@ -15,8 +16,8 @@ from __future__ import annotations
 import functools
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,7 +51,20 @@ MARKS = set(
     "related recommended recommendations recommendation popular trending more-stories readmore "
     "comment comments commentlist disqus respond reply replies discussion widget widgets pagination pager skip-link skiplink".split()
 )
-#: Words that turn a mark into its absence or its layout: class="no-sidebar", class="has-menu".
+#: Marks that are as well what a part of the text is about: id="discussion", id="In_popular_culture".
+TOPICS = set(
+    "advertising promotion banner banners menu menus navigation cookie cookies consent notice notices notification notifications overlay alert "
+    "disclaimer copyright legal subscription register search share sharing social follow related recommended recommendations recommendation popular "
+    "trending respond reply replies discussion sponsor sponsors".split()
+)
+#: Marks of what readers wrote.
+REMARKS = {"comment", "comments", "commentlist", "disqus"}
+#: Words that leave a mark what it is: class="share-buttons".
+FURNITURE = set("area bar block box button buttons container count form icons inner links list outer panel post posts section slot stories unit wrap wrapper".split())
+#: Elements that hold a part of a page, rather than a heading, a paragraph or words of one.
+CONTAINERS = {"div", "section", "aside", "ul", "ol", "dl", "table", "ins", "center", "details"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+#: Words that turn the marks after them into their absence or a layout: class="no-sidebar", class="content-with-sidebar".
 ABSENT = {"no", "has", "with", "without", "hide"}
 #: Classes, whole, by which an article element of its own is a reader's comment, an advert or a teaser.
 SIDE_ARTICLES = {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related", "teaser"}
@@ -80,7 +94,23 @@ LABELLED = (
 )
 
 
-def _is_chrome(name: str, attrs: str, in_article: bool) -> bool:
+def _told(name: str, key: str, token: str, in_article: bool) -> bool | None:
+    """Whether a class or an id tells an element that isn't the text's; None if only one whose words are mostly links."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if w]
+    marks = {w for i, w in enumerate(words) if w in MARKS and not ABSENT.intersection(words[:i])}
+    if not marks or name in HEADINGS:
+        return False
+    whole, plain = MARKS.union(FURNITURE).issuperset(words), not marks <= TOPICS
+    if name not in CONTAINERS:
+        return not in_article and key == "class" and (whole or plain and name != "p")
+    if whole and marks & REMARKS:
+        return True
+    if in_article:
+        return True if whole and name != "section" and (plain or key == "class" and len(words) > 1) else None
+    return True if plain and (whole or key == "class" or name != "section") or whole and name != "section" else None
+
+
+def _is_chrome(name: str, attrs: str, in_article: bool, mostly_links: Callable[[], bool]) -> bool:
     if name in CHROME and not (name == "header" and in_article):
         return True
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower() or name in ("html", "body", "main"):
@@ -98,8 +128,8 @@ def _is_chrome(name: str, attrs: str, in_article: bool) -> bool:
             for token in given.split():
                 if not in_article and token.lower().replace("_", "-") in PAGE_HEADERS:
                     return True
-                spaced = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
-                if spaced[0] not in ABSENT and MARKS.intersection(spaced):
+                told = _told(name, key, token, in_article)
+                if told or told is None and mostly_links():
                     return True
         elif key == "role" and value in ROLES or key == "aria-hidden" and value == "true":
             return True
@@ -127,9 +157,53 @@ def _skip(page: str, at: int, name: str) -> int:
     return len(page)
 
 
+def _of_links(page: str) -> dict[int, bool]:
+    """For each element, by where its tag ends, whether at least half of its words are in links. One pass, however deep they nest."""
+    opened: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
+    out: dict[int, bool] = {}
+    words = linked = 0
+    in_link, raw = False, ""
+
+    def close(at: int, words_before: int, linked_before: int) -> None:
+        out[at] = words > words_before and 2 * (linked - linked_before) >= words - words_before
+
+    for m in _TOKEN.finditer(page):
+        tag, end = (m["name"] or m["name2"] or "").lower(), m["end"] or m["end2"]
+        if raw:
+            raw = "" if end and tag == raw else raw
+        elif not tag:
+            if not m[0].startswith(("<!", "<?")):
+                count = len(html.unescape(m[0]).split())
+                words, linked = words + count, linked + count * in_link
+        elif tag in RAW:
+            raw = "" if end or (m["attrs"] or m["attrs2"] or "").endswith("/") and tag in ("svg", "math") else tag
+        else:
+            if tag == "a":
+                in_link = not end
+            if not end and tag in ("article", "main") or end and tag in ("body", "html"):
+                for stack in opened.values():
+                    while stack:
+                        close(*stack.pop())
+            if not end and tag in CONTAINERS:
+                opened[tag].append((m.end(), words, linked))
+            elif end and opened[tag]:
+                close(*opened[tag].pop())
+    for stack in opened.values():
+        for x in stack:
+            close(*x)
+    return out
+
+
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """kind (tag, end, chrome, word, link, mark), name and text of each event; names of tags within an article end with @."""
     at, size, article, links = 0, len(page), 0, 0
+    of_links: dict[int, bool] | None = None
+
+    def mostly_links() -> bool:
+        nonlocal of_links
+        of_links = _of_links(page) if of_links is None else of_links
+        return of_links.get(at, False)
+
     while at < size:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -152,7 +226,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             if not attrs.endswith("/") or name not in ("svg", "math"):
                 close = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(page, at)
                 at = page.find(">", close.start()) + 1 or size if close else size
-        elif name not in VOID and _is_chrome(name, attrs, article > 0):
+        elif name not in VOID and _is_chrome(name, attrs, article > 0, mostly_links):
             yield "chrome", name + "@" * (article > 0), ""
             at = _skip(page, at, name)
         else:

@@ -442,3 +442,23 @@ def test_rows_that_share_a_doc_id_are_dropped_one_by_one(spark):
     benchmark = spark.createDataFrame([(0, item)], "item_id long, text string")
     assert by_id(decontamination.keep_clean(docs_of(spark, rows), benchmark)) == sorted([r for r in rows if item not in (r[1] or "")], key=repr)
     assert decontamination.leaks(docs_of(spark, rows), benchmark).columns == ["doc_id", "item_id", "score", "end_word"]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><h1>T</h1><h2 id="In_popular_culture">In popular culture</h2><p id="share">aa bb</p><h2 id="Legal_issues" class="search">Legal issues</h2><p class="related">cc</p></article>', "T\nIn popular culture\naa bb\nLegal issues\ncc"),
+        ('<article><p>aa bb</p><section id="discussion"><h2>Discussion</h2><p>cc dd <a>ee</a></p></section><section id="related-work"><p>ff gg</p></section></article>', "aa bb\nDiscussion\ncc dd ee\nff gg"),
+        ('<article><h2><span class="mw-headline" id="Legal_notices">Law</span></h2><ul><li id="cite-popular">one</li></ul></article>', "Law\none"),
+        ('<div class="content-with-sidebar"><h1>Title</h1><p>Words of the page.</p></div>', "Title\nWords of the page."),
+        ('<div><h2 id="In_popular_culture">A heading</h2><p>Words of the text go on</p><section id="legal-issues"><p>and more of them</p></section></div>', "A heading\nWords of the text go on\nand more of them"),
+        ('<article><p>aa bb cc</p><div class="related">See <a>one story</a> <a>two stories</a></div><section id="popular"><ul><li><a>x</a></li></ul></section><div id="comments"><p>I disagree</p></div><p>dd</p></article>', "aa bb cc\ndd"),
+        ('<article><p>aa bb cc</p><div class="ad-slot"><p>buy</p></div><div id="ad-2">buy</div><div class="cookie-notice">We use</div><div class="newsletter">join us</div><p>dd</p></article>', "aa bb cc\ndd"),
+    ],
+)
+def test_html_marks_that_name_a_topic(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_of_deeply_nested_marks():
+    assert html_text.main_text("<article>" + '<div class="share">' * 30_000 + "words of it").split() == ["words", "of", "it"]
