@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,18 +35,18 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-#: Rows that go to a Python worker at a time; Spark's own 10,000 are 30 MB of texts, in and out, for each of its tasks.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows, and bytes, that go to a Python worker at a time; Spark's own 10,000 rows are 30 MB of texts, in and out, for each task.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def python_pass(rows: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with this package on the executors and short batches, which hold for the session from then on."""
+    """``mapInArrow`` with this package on the executors. Batches are short unless the session says how long they are to be."""
     spark = rows.sparkSession
     ship(spark)
-    now = int(spark.conf.get(_BATCH))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    said = spark.conf.getAll
+    for key, value in BATCHES.items():
+        if key not in said:
+            spark.conf.set(key, value)
     return rows.mapInArrow(function, schema)
 
 
@@ -53,10 +54,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that the cluster names; only without one, a folder of this machine."""
+    """Uses the shared folder that the cluster names. Only a session within one process may do without, and then has a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
+        sc.setCheckpointDir(folder)
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -65,6 +71,16 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def used_up(*frames: DataFrame) -> None:
+    """Deletes the files of checkpoints that nothing will read any more: all that was made of them is written itself."""
+    for frame in frames:
+        spark = frame.sparkSession
+        name = frame._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if name.isDefined():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name.get())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. ``lower`` does just that in texts of ASCII alone, which it handles much faster."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
@@ -132,11 +148,29 @@ def _give_back() -> None:
         trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches cut into short ones, so that what is made of one batch stays small."""
+#: Bytes of texts that are worked on at a time, unless one text alone is longer.
+SLICE_BYTES = 4 << 20
+
+
+def _lengths(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of the strings of each row."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+            total += np.asarray(pc.fill_null(pc.binary_length(column), 0))
+    return total
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut into short ones of so many rows and bytes of strings at most, so that what is made of one batch stays small."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        ends = np.cumsum(_lengths(batch))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
     _give_back()
 
 

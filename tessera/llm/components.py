@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, used_up
 
 
 def _with_minimum(edges: DataFrame) -> DataFrame:
@@ -44,7 +44,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _fingerprint(edges)
     while before[0]:
-        edges = cut(_small_star(_large_star(edges)))
+        last, edges = edges, cut(_small_star(_large_star(edges)))
+        used_up(last)
         after = _fingerprint(edges)
         if after == before:
             break

@@ -5,17 +5,20 @@ white space; with fewer words the whole sequence is one shingle; without words t
 Two documents are linked if 100 * intersection >= percent * union of their full sets; percent is 85 unless the caller says
 otherwise, and sets the number of bands and of minima (``Threshold``).
 
-1. One narrow pass makes for each document universal hash minima, 125 at 85 per cent, and a digest of its set. Equal sets are one class, of
+1. One narrow pass makes for each document universal hash minima, 150 at 85 per cent, and a digest of its set. Equal sets are one class, of
    which only the smallest doc_id goes on: groups of copies, however large, are never compared.
-2. Bands of five minima, 25 at 85 per cent and 37 at 80, deal the classes out into buckets; linked ones share none with a
+2. Bands of five minima, 30 at 85 per cent and 45 at 80, deal the classes out into buckets; linked ones share fewer than two with a
    probability under one in a million. Each member of a bucket is paired with the bucket's smallest id: as many pairs as members.
 3. Pairs whose minima agree too rarely (five standard deviations below the threshold) go; the others are confirmed on full sets.
-4. Components of the confirmed links. Buckets that still hold several components are compared in blocks of bounded size:
-   whatever isn't in the bucket's largest component, against all its other members but those of its own component. So any
-   two members of one bucket are in one component or have been compared, and the components are those of all links.
+4. Components of the confirmed links. Buckets that still hold several components are open. A large one, of more than BLOCK members,
+   is split by each further band into the buckets of those that share that band too, as linked ones do.
+5. What is left open is compared in blocks of bounded size: whatever isn't in the bucket's largest component, against all its
+   other members but those of its own component, first by minima. Texts go only to blocks, and only of members, that have a
+   partner whose minima agree; there full sets decide. So any two members of one bucket are in one component or have been
+   compared, and the components are those of all links.
 
-Hot buckets and classes are met by partial aggregates, by joins that adaptive execution can split, and by the blocks.
-Texts are shuffled only for documents in pairs, found by a bitmap of bounded size.
+Hot buckets and classes are met by partial aggregates, by joins that adaptive execution can split, by further bands and by the
+blocks. Texts are shuffled only for documents in pairs, found by a bitmap of bounded size.
 
 A null text counts as empty. Rows of one doc_id are one document, linked if any of its texts is. Rows without doc_id are
 linked with nothing and kept; their component_id is null. An empty table gives an empty result; further columns are left
@@ -32,10 +35,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, flagged, mix, python_pass, slices, texts_of, without
+from tessera.llm.common import cut, flagged, mix, python_pass, slices, texts_of, used_up, without
 from tessera.llm.components import connected_components
 
 WORDS = 5
@@ -43,10 +46,12 @@ WORDS = 5
 ROWS = 5
 #: Links have at least this per cent of their union in common, unless the caller says otherwise.
 PERCENT = 85
-#: A link at the threshold shares no band with at most this probability.
-MISSED = 5e-7
+#: A link at the threshold shares fewer than two bands with at most this probability.
+MISSED = 6e-7
 #: Members of a bucket's part that meets another in one task.
 BLOCK = 256
+#: Shingles of all members of such a part, unless one member alone has more.
+BLOCK_SHINGLES = 1 << 20
 
 _C = np.random.default_rng(20260101).integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -63,8 +68,10 @@ class Threshold:
 
     @functools.cached_property
     def bands(self) -> int:
-        shared = (self.percent / 100) ** ROWS
-        return math.ceil(math.log(MISSED) / math.log1p(-shared)) if shared < 1 else 1
+        shared, n = (self.percent / 100) ** ROWS, 2
+        while (1 - shared) ** n + n * shared * (1 - shared) ** (n - 1) > MISSED:
+            n += 1
+        return n
 
     @property
     def hashes(self) -> int:
@@ -173,28 +180,46 @@ def confirmed(pairs: DataFrame, docs: DataFrame, at: Threshold) -> DataFrame:
     return python_pass(_with_both(pairs, texts, "text"), functools.partial(_confirm, at=at), "u long, v long")
 
 
+def _band(band: int) -> Column:
+    """The key of a band, from the column of minima."""
+    size = 4 * ROWS
+    return F.xxhash64(F.lit(band), F.substring("minima", band * size + 1, size))
+
+
 def _bands(reps: DataFrame, bands: int) -> DataFrame:
     """band, key and doc_id: a row of each class for each band."""
-    size = 4 * ROWS
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("minima", b * size + 1, size)).alias("key")) for b in range(bands)])
+    keys = F.array(*[F.struct(F.lit(b).alias("band"), _band(b).alias("key")) for b in range(bands)])
     return reps.select("doc_id", F.explode(keys).alias("x")).select("x.band", "x.key", "doc_id")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Rows of buckets with several components, copied to each block in which their part meets another.
-
-    ``main`` marks the bucket's largest component; its parts meet only parts of the rest.
-    """
-    sizes = members.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+def _open(members: DataFrame) -> DataFrame:
+    """The members of buckets (band, also, key) that hold several components, with what their bucket is made of."""
+    sizes = members.groupBy("band", "also", "key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
     buckets = (
-        sizes.groupBy("band", "key")
-        .agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
-        .select("band", "key", F.col("top.component").alias("top"), F.col("top.n").alias("n_top"), (F.col("all") - F.col("top.n")).alias("n_rest"))
-        .withColumn("parts_top", F.ceil(F.col("n_top") / BLOCK))
-        .withColumn("parts_rest", F.ceil(F.col("n_rest") / BLOCK))
+        sizes.groupBy("band", "also", "key")
+        .agg(F.max(F.struct("n", "component", "w")).alias("top"), F.sum("n").alias("n_all"), F.sum("w").alias("w_all"), F.count("*").alias("parts"))
+        .filter("parts > 1")
+        .select("band", "also", "key", F.col("top.component").alias("top"), F.col("top.n").alias("n_top"), F.col("top.w").alias("w_top"), "n_all", "w_all")
     )
     z = F.pmod("key", F.lit(2))
-    rows = members.withColumn("z", z).join(buckets.drop("n_top", "n_rest").withColumn("z", z), ["band", "key", "z"])
+    return members.withColumn("z", z).join(buckets.withColumn("z", z), ["band", "also", "key", "z"]).drop("z")
+
+
+def _split(members: DataFrame, bands: int) -> DataFrame:
+    """Members of large buckets in the buckets of those that share another, later band as well."""
+    keys = F.array(*[F.struct(F.lit(b).alias("also"), F.xxhash64("key", _band(b)).alias("key")) for b in range(bands)])
+    rows = members.select("band", "doc_id", "component", "n_shingles", F.explode(F.filter(keys, lambda x: x["also"] > F.col("band"))).alias("x"))
+    return rows.select("band", "x.also", "x.key", "doc_id", "component", "n_shingles")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Rows of open buckets, copied to each block in which their part meets another.
+
+    The bucket's largest component is cut into parts of bounded size, and so is the rest; its parts meet only parts of the rest.
+    """
+    parts = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES), F.lit(1)).cast("long")
+    rows = members.withColumn("parts_top", parts(F.col("n_top"), F.col("w_top")))
+    rows = rows.withColumn("parts_rest", parts(F.col("n_all") - F.col("n_top"), F.col("w_all") - F.col("w_top")))
     rows = rows.withColumn("main", F.col("component") == F.col("top"))
     part = F.when(F.col("main"), F.pmod(F.xxhash64("doc_id"), F.col("parts_top"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts_rest")))
     rest = F.sequence(F.lit(0).cast("long"), F.col("parts_rest") - 1)
@@ -202,17 +227,29 @@ def _blocks(members: DataFrame) -> DataFrame:
     to_top = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts_top") - 1), lambda j: F.struct(F.lit(1).alias("kind"), F.col("part").alias("i"), j.alias("j")))
     from_top = F.transform(rest, lambda i: F.struct(F.lit(1).alias("kind"), i.alias("i"), F.col("part").alias("j")))
     meets = F.when(F.col("main"), from_top).otherwise(F.concat(to_rest, to_top))
-    copies = rows.withColumn("part", part).select("band", "key", "doc_id", "component", "minima", "text", F.explode(meets).alias("m"))
-    return copies.select(F.xxhash64("band", "key", "m.kind", "m.i", "m.j").alias("block"), "band", "doc_id", "component", "minima", "text")
+    copies = rows.withColumn("part", part).select("band", "also", "key", "doc_id", "component", F.explode(meets).alias("m"))
+    return copies.select(F.xxhash64("band", "also", "key", "m.kind", "m.i", "m.j").alias("block"), "band", "also", "doc_id", "component")
 
 
-def _links_of_block(band: int, docs: list[int], components: list[int], signs: list[bytes], texts: list[str], at: Threshold) -> list[tuple[int, int]]:
-    """Confirmed links that join the block's components; a pair whose components are joined already needs no look.
+def _pairs_of_block(band: int, also: int, components: list[int], signs: list[bytes], at: Threshold) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member, the later ones of other components whose minima agree with its own.
 
-    A pair that shares an earlier band as well is left to that band's bucket.
+    A pair that shares an earlier band, or pair of bands, as well is left to that one's bucket.
     """
     c = np.array(components, np.int64)
     s = np.frombuffer(b"".join(signs), "<u4").reshape(-1, at.bands, ROWS)
+    for i in range(len(c) - 1):
+        other = i + 1 + np.flatnonzero(c[i + 1 :] != c[i])
+        same = s[other] == s[i]
+        shared = same.all(axis=2)
+        first = ~shared[:, :band].any(axis=1)
+        if also >= 0:
+            first &= ~shared[:, band + 1 : also].any(axis=1)
+        yield i, other[(same.sum(axis=(1, 2)) >= at.agree) & first]
+
+
+def _links_of_block(band: int, also: int, docs: list[int], components: list[int], signs: list[bytes], texts: list[str], at: Threshold) -> list[tuple[int, int]]:
+    """Confirmed links that join the block's components; a pair whose components are joined already needs no look."""
     sets: dict[int, np.ndarray] = {}
     parent = {x: x for x in components}
 
@@ -227,11 +264,8 @@ def _links_of_block(band: int, docs: list[int], components: list[int], signs: li
         return sets[i]
 
     links = []
-    for i in range(len(docs) - 1):
-        other = i + 1 + np.flatnonzero(c[i + 1 :] != c[i])
-        same = s[other] == s[i]
-        near = (same.sum(axis=(1, 2)) >= at.agree) & ~same[:, :band].all(axis=2).any(axis=1)
-        for j in other[near]:
+    for i, others in _pairs_of_block(band, also, components, signs, at):
+        for j in others:
             x, y = root(components[i]), root(components[j])
             if x != y and _linked(full(i), full(j), at.percent):
                 parent[max(x, y)] = min(x, y)
@@ -239,23 +273,55 @@ def _links_of_block(band: int, docs: list[int], components: list[int], signs: li
     return links
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch], at: Threshold) -> Iterator[pa.RecordBatch]:
-    """Blocks follow each other within a partition, and one is held at a time."""
-
-    def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
-
-    block, band, held = None, 0, ([], [], [], [])
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, list[list]]]:
+    """block, band, also and the further columns. Blocks follow each other within a partition, and one is held at a time."""
+    now, held = None, []
     for batch in slices(batches):
-        for now, of_band, *row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
-            if now != block:
-                if held[0]:
-                    yield batch_of(_links_of_block(band, *held, at))
-                block, band, held = now, of_band, ([], [], [], [])
+        for key, *row in zip(zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True), *[batch.column(i).to_pylist() for i in range(3, batch.num_columns)], strict=True):
+            if key != now:
+                if held:
+                    yield *now, held
+                now, held = key, [[] for _ in row]
             for column, value in zip(held, row, strict=True):
                 column.append(value)
-    if held[0]:
-        yield batch_of(_links_of_block(band, *held, at))
+    if held:
+        yield *now, held
+
+
+def _suspects(batches: Iterator[pa.RecordBatch], at: Threshold) -> Iterator[pa.RecordBatch]:
+    """The members of each block that have a partner there by their minima."""
+    for block, band, also, (docs, components, signs) in _each_block(batches):
+        marked = np.zeros(len(docs), bool)
+        for i, others in _pairs_of_block(band, also, components, signs, at):
+            marked[others] = True
+            marked[i] |= len(others) > 0
+        found = np.flatnonzero(marked)
+        columns = [[block] * len(found), [band] * len(found), [also] * len(found), [docs[i] for i in found], [components[i] for i in found]]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["block", "band", "also", "doc_id", "component"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], at: Threshold) -> Iterator[pa.RecordBatch]:
+    for _, band, also, (docs, components, signs, texts) in _each_block(batches):
+        links = _links_of_block(band, also, docs, components, signs, texts, at)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+def _late_links(members: DataFrame, reps: DataFrame, docs: DataFrame, at: Threshold) -> DataFrame:
+    """The links (u, v) that the buckets (band, key, doc_id, component) still hide."""
+    whole = members.withColumn("also", F.lit(-1)).join(reps.select("doc_id", "n_shingles"), "doc_id")
+    opened = cut(_open(whole))
+    large = opened.filter(F.col("n_all") > BLOCK)
+    halves = _open(_split(large.select("band", "key", "doc_id", "component", "n_shingles").join(reps.select("doc_id", "minima"), "doc_id"), at.bands))
+    blocks = _blocks(opened.filter(F.col("n_all") <= BLOCK).unionByName(halves))
+    dealt = blocks.join(reps.select("doc_id", "minima"), "doc_id").repartition("block").sortWithinPartitions("block")
+    kinds = "block long, band int, also int, doc_id long, component long"
+    suspects = cut(python_pass(dealt.select("block", "band", "also", "doc_id", "component", "minima"), functools.partial(_suspects, at=at), kinds))
+    texts = flagged(texts_of(docs), suspects.select("doc_id").distinct(), "doc_id").filter("_hit").select("doc_id", "text")
+    full = suspects.join(reps.select("doc_id", "minima"), "doc_id").join(texts, "doc_id").repartition("block").sortWithinPartitions("block")
+    late = cut(python_pass(full.select("block", "band", "also", "doc_id", "component", "minima", "text"), functools.partial(_compare, at=at), "u long, v long"))
+    used_up(opened, suspects)
+    return late
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -266,7 +332,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = known.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
     classes = cut(classes)
     ids = classes.select(F.col("rep").alias("doc_id")).distinct()
-    reps = cut(known.filter("n_shingles > 0").join(ids, "doc_id", "left_semi").select("doc_id", "minima"))
+    reps = cut(known.filter("n_shingles > 0").join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "minima"))
 
     bands = _bands(reps, at.bands)
     buckets = bands.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub != last")
@@ -275,20 +341,16 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = members.filter("hub != doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     agreeing = cut(python_pass(_with_both(pairs, reps, "minima"), functools.partial(_keep_agreeing, at=at), "a long, b long"))
     links = cut(confirmed(agreeing, docs, at))
+    used_up(agreeing)
     components = connected_components(links)
 
     def labelled(rows: DataFrame, key: str) -> DataFrame:
         label = components.select(F.col("node").alias(key), F.col("component").alias("_c"))
         return rows.join(label, key, "left").withColumn("component", F.coalesce("_c", key)).drop("_c")
 
-    mixed = labelled(members.select("band", "key", "doc_id"), "doc_id")
-    open_buckets = mixed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("band", "key")
-    unsettled = mixed.withColumn("z", F.pmod("key", F.lit(2))).join(open_buckets.withColumn("z", F.pmod("key", F.lit(2))), ["band", "key", "z"], "left_semi").drop("z")
-    unsettled = cut(unsettled.distinct().join(reps, "doc_id"))
-    ids = unsettled.select("doc_id").distinct()
-    texts = flagged(texts_of(docs), ids, "doc_id").filter("_hit").select("doc_id", "text")
-    blocks = _blocks(unsettled.join(texts, "doc_id")).repartition("block").sortWithinPartitions("block")
-    late = cut(python_pass(blocks, functools.partial(_compare_blocks, at=at), "u long, v long"))
+    mixed = labelled(members.select("band", "key", "doc_id").distinct(), "doc_id")
+    late = _late_links(mixed, reps, docs, at)
+    used_up(members, reps)
     if not late.isEmpty():
         components = connected_components(links.unionByName(late))
 

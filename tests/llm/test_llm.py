@@ -33,12 +33,13 @@ def dedup_by_hand(rows):
     groups = collections.defaultdict(list)
     for i, t in rows:
         groups[ascii_lower(t)].append(i)
-    out = []
+    out, stays = [], set()
     for i, t in rows:
-        ids = groups[ascii_lower(t)]
-        keep = max((x for x in ids if x is not None), default=None)
-        keep = i if len(ids) == 1 else keep
-        out.append((i, keep, len(ids), i == keep, hashlib.sha256(ascii_lower(t).encode()).hexdigest()))
+        n = ascii_lower(t)
+        keep = max((x for x in groups[n] if x is not None), default=None)
+        out.append((i, keep, len(groups[n]), i == keep and n not in stays, hashlib.sha256(n.encode()).hexdigest()))
+        if i == keep:
+            stays.add(n)  # one row of each text
     return out
 
 
@@ -47,10 +48,20 @@ def test_exact_dedup(spark):
     assert sorted(got, key=repr) == sorted(dedup_by_hand(ODD), key=repr)
     kept = exact_dedup.keep_one(docs_of(spark, ODD))
     assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
-    assert sorted((r.doc_id or 0 for r in kept.collect())) == [2, 4, 4, 5, 6, 7, 9]
+    assert sorted((r.doc_id or 0 for r in kept.collect())) == [2, 4, 5, 6, 7, 9]
     assert exact_dedup.exact_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_exact_dedup_keeps_one_row_of_each_text(spark):
+    rows = [(1, "x"), (2, "X"), (1, "y unique"), (5, "z"), (5, "Z"), (5, "z"), (None, "n"), (None, "N"), (None, "alone"), (None, None), (None, ""), (6, "É"), *[(8, "many")] * 9000, (3, "many")]
+    want = sorted((str(i), d[4], d[3]) for (i, _), d in zip(rows, dedup_by_hand(rows), strict=True))
+    query = exact_dedup.exact_dedup(docs_of(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text_sha256, r.kept) for r in query) == want and {r.group_size for r in query if r.doc_id == 8} == {9001}
+    kept = exact_dedup.keep_one(docs_of(spark, rows))
+    assert kept.columns == docs_of(spark, []).columns
+    assert sorted((str(r.doc_id), hashlib.sha256(ascii_lower(r.text).encode()).hexdigest(), True) for r in kept.collect()) == [w for w in want if w[2]]
+
+
 def test_exact_dedup_is_native(spark):
     for frame in (exact_dedup.exact_dedup(docs_of(spark, ODD)), exact_dedup.keep_one(docs_of(spark, ODD))):
         assert not re.search("Python|Arrow|Pandas", frame._jdf.queryExecution().toString())
@@ -403,7 +414,7 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
         got = sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect())
-        assert got == (["2", "4", "4", "5", "6", "7", "9"] if rows else [])
+        assert got == (["2", "4", "5", "6", "7", "9"] if rows else [])
 
 
 def near_copies(seed=11):
