@@ -140,6 +140,27 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+_HASHES = 1 << 31
+
+
+def bounded_sample(rows: DataFrame, size: int, *order: str) -> DataFrame:
+    """At most ``size`` of the rows, those whose doc_id has the lowest hashes, and nearly that many of more.
+
+    All but about that many rows are dropped where they lie, by a bound on the hash that follows from their number.
+    """
+    n = rows.count()
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES))
+    if n > size:
+        rows = rows.filter(low < int(_HASHES * min(1.0, (1.1 * size + 10 * size**0.5) / n)))
+    return cut(rows.orderBy(low, "doc_id", *order).limit(size))
+
+
+def one_text_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents among ``ids``; of several texts of one doc_id the last in order, so no id has many rows."""
+    texts = flagged(texts_of(docs), ids, "doc_id").filter("_hit").select("doc_id", "text").filter("doc_id IS NOT NULL")
+    return texts.groupBy("doc_id").agg(F.max("text").alias("text"))
+
+
 def _give_back() -> None:
     """Returns free memory to the system: Spark keeps the worker, and the next pass may be another operator's."""
     pa.default_memory_pool().release_unused()

@@ -1,18 +1,21 @@
 """Near-duplicate lines by a deletion-neighbourhood join, with DataFrame operations only.
 
-Lines are what line feeds separate; a line is its sequence of words between white space. Two lines match if they are equal, or
-if one word substituted, inserted or deleted turns one into the other and the longer has at least MIN_WORDS words (one edit in
-five words is a similarity of 0.8). A line stays if no earlier line, by doc_id, then line number, matches it. Lines without
-words always stay.
+Lines are what line feeds separate; a line is its sequence of words between white space. Two lines match if they are equal, or if
+one edit (a unit substituted, inserted or deleted) turns one into the other and the longer has at least UNITS units: one edit in
+five units is a similarity of 0.8. The unit is the word; of two lines that have fewer than UNITS words each it is the character,
+words being joined by one blank. A line stays if no earlier line, by doc_id, then line number, matches it. Lines without words
+always stay.
 
 1. Equal lines become one: counted by hash with partial aggregates, however often a line occurs.
 2. One edit leaves the first or the second half of both lines as it was. Lines whose halves occur in no other line have no match;
    a bitmap of bounded size drops them before any variant is made.
-3. Of the rest, each line emits the hash of itself without word i, for each i, as two keys: with i, which lines of the same
-   length share if they differ in word i alone; and without, which equals the hash of a line that is one word shorter.
+3. Of the rest, each line emits the hash of itself without unit i, for each i, as two keys: with i, which lines of the same
+   length share if they differ in unit i alone; and without, which equals the hash of a line that is one unit shorter. A line's
+   hash is the exclusive or of the hashes of its units with their places, so running sums give all of its variants: the work is
+   in proportion to its length, up to a sort.
 4. All members of a key of the first kind match each other, so pairing each with the earliest finds whether it has an earlier
    match: no pairs within a bucket are made. Keys of the second kind join variants to whole lines.
-5. The edit distance of all pairs is verified on the words.
+5. The edit distance of all pairs is verified on the units.
 
 A null text has one line without words. Rows without doc_id come first in the order. Repeated rows repeat their lines, of which
 each (doc_id, line number) that comes first stays. Further columns are left behind. An empty table gives an empty result.
@@ -20,12 +23,13 @@ each (doc_id, line number) that comes first stays. Further columns are left behi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, flagged, texts_of
+from tessera.llm.common import cut, flagged, texts_of, used_up
 
-MIN_WORDS = 5
+#: Units that the longer of two lines has at least if they are one edit apart.
+UNITS = 5
 HALVES = ("a", "b", "c", "d")
 
 
@@ -38,36 +42,37 @@ def _words(line: Column) -> Column:
     return F.filter(pieces, lambda w: w != "")
 
 
-def _half(words: Column, length: Column, tail: bool) -> Column:
-    start = F.size(words) - length + 1 if tail else F.lit(1)
-    return F.xxhash64(F.lit(tail), length, F.slice(words, start, length))
+def _half(units: Column, length: Column, tail: bool) -> Column:
+    start = F.size(units) - length + 1 if tail else F.lit(1)
+    return F.xxhash64(F.lit(tail), length, F.slice(units, start, length))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no from 0, number of words n, two hashes that identify the line, and the halves a to d.
+def _characters(words: Column) -> Column:
+    return F.split(F.array_join(words, " "), "", -1)
+
+
+def _halves(units: Column, *kind: Column) -> list[Column]:
+    """The halves a to d that a line has in common with a match of its length or of one unit more or less."""
+    n = F.size(units)
+    long, short = F.floor(n / 2).cast("int"), F.greatest(F.floor((n - 1) / 2), F.lit(0)).cast("int")
+    return [F.xxhash64(*kind, _half(units, k, tail)) if kind else _half(units, k, tail) for k in (long, short) for tail in (False, True)]
 
-    The halves are those that a line has in common with a match of its length or of one word more or less.
-    """
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no from 0, number of words n, two hashes that identify the line, and arrays of halves, by words and by characters."""
     rows = texts_of(docs).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     rows = rows.select("doc_id", "line_no", _words(F.col("line")).alias("words"))
     words, n = F.col("words"), F.size("words")
-    long, short = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    halves = [_half(words, k, tail) for k in (long, F.greatest(short, F.lit(0))) for tail in (False, True)]
+    chars = F.when((n > 0) & (n < UNITS), _characters(words))
     return rows.select(
         "doc_id", "line_no", n.alias("n"), F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words", n).alias("g"),
-        *[F.when(n >= MIN_WORDS - 1, half).alias(name) for half, name in zip(halves, HALVES, strict=True)],
+        F.when(n >= UNITS - 1, F.array_distinct(F.array(*_halves(words)))).alias("by_words"),
+        F.when(F.size(chars) >= UNITS - 1, F.array_distinct(F.array(*_halves(chars, F.lit("c"))))).alias("by_chars"),
     )
 
 
-def _variants(words: Column, n: Column) -> Column:
-    """For each word, its place and the hash of the line without it."""
-    return F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, n)).alias("key"))
-    )
-
-
 def _one_edit(a: Column, b: Column) -> Column:
-    """Whether word arrays a and b, b no shorter, are one substitution or one insertion apart."""
+    """Whether arrays of units a and b, b no shorter, are one substitution or one insertion apart."""
     n = F.size(a)
     differ = F.zip_with(a, F.slice(b, F.lit(1), n), lambda x, y: x != y)
     first = F.array_position(differ, True).cast("int")
@@ -79,11 +84,15 @@ def _one_edit(a: Column, b: Column) -> Column:
 def _alike(lines: DataFrame) -> DataFrame:
     """h, g, doc_id and line_no where it first occurs, of distinct lines that have half of another one."""
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
-    distinct = cut(lines.filter(F.col("n") >= MIN_WORDS - 1).groupBy("h", "g").agg(first, *[F.max(x).alias(x) for x in HALVES]))
-    halves = distinct.select("h", "g", "first", F.explode(F.array_distinct(F.array(*HALVES))).alias("half"))
+    able = lines.filter("by_words IS NOT NULL OR by_chars IS NOT NULL")
+    distinct = cut(able.groupBy("h", "g").agg(first, F.first("by_words").alias("by_words"), F.first("by_chars").alias("by_chars")))
+    all_halves = F.concat(F.coalesce("by_words", F.array().cast("array<bigint>")), F.coalesce("by_chars", F.array().cast("array<bigint>")))
+    halves = distinct.select("h", "g", "first", F.explode(all_halves).alias("half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo != hi").select("half")
     hit = flagged(halves, shared, "half").filter("_hit")
-    return cut(hit.groupBy("h", "g").agg(F.min("first").alias("first")).select("h", "g", "first.doc_id", "first.line_no"))
+    out = cut(hit.groupBy("h", "g").agg(F.min("first").alias("first")).select("h", "g", "first.doc_id", "first.line_no"))
+    used_up(distinct)
+    return out
 
 
 def _with_words(docs: DataFrame, alike: DataFrame) -> DataFrame:
@@ -91,32 +100,54 @@ def _with_words(docs: DataFrame, alike: DataFrame) -> DataFrame:
     rows = flagged(texts_of(docs), alike.select("doc_id").distinct(), "doc_id").filter("_hit")
     rows = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     rows = flagged(rows, alike, "doc_id", "line_no").filter("_hit").select("doc_id", "line_no", _words(F.col("line")).alias("words"))
-    rows = rows.select("doc_id", "line_no", "words", F.xxhash64("words").alias("h"), F.size("words").alias("n"))
+    rows = rows.select("doc_id", "line_no", "words", F.xxhash64("words").alias("h"))
     same = F.col("x.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("x.line_no") == F.col("f.line_no")) & (F.col("x.h") == F.col("f.h"))
-    joined = rows.alias("x").join(alike.alias("f"), same).select("f.h", "f.g", "f.doc_id", "f.line_no", "words", "n")
+    joined = rows.alias("x").join(alike.alias("f"), same).select("f.h", "f.g", "f.doc_id", "f.line_no", "words")
     return cut(joined.dropDuplicates(["h", "g"]))
 
 
+def _in_units(words: DataFrame) -> DataFrame:
+    """chars (whether units are characters), units and their number n: lines of few words by character, those of UNITS - 1 words by both."""
+    n = F.size("words")
+    by_word = words.filter(n >= UNITS - 1).select("h", "g", "doc_id", "line_no", F.lit(False).alias("chars"), F.col("words").alias("units"))
+    by_char = words.filter(n < UNITS).select("h", "g", "doc_id", "line_no", F.lit(True).alias("chars"), _characters(F.col("words")).alias("units"))
+    return by_word.unionByName(by_char).withColumn("n", F.size("units")).filter(F.col("n") >= UNITS - 1)
+
+
+def _variants(lines: DataFrame) -> DataFrame:
+    """For each unit of each line its place i from 0, the line's hash without it (key), and the hash of the whole line."""
+    units = lines.select("doc_id", "line_no", "chars", "n", F.posexplode("units").alias("i", "unit"))
+    units = units.select("doc_id", "line_no", "chars", "n", "i", F.xxhash64("unit", "i").alias("here"), F.xxhash64("unit", F.col("i") - 1).alias("moved"))
+    line = Window.partitionBy("doc_id", "line_no", "chars")
+    upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.bit_xor("here").over(upto).bitwiseXOR(F.col("here"))  # of the units before this one
+    after = F.bit_xor("moved").over(line).bitwiseXOR(F.bit_xor("moved").over(upto))  # of those after it, one place down
+    whole = F.bit_xor("here").over(line)
+    return units.select("doc_id", "line_no", "chars", "n", "i", before.bitwiseXOR(after).alias("key"), whole.alias("whole"))
+
+
 def matches(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """h, g and the earliest earlier match (doc_id, line_no) of each distinct line that has one."""
-    words = _with_words(docs, _alike(lines))
+    alike = _alike(lines)
+    words = _with_words(docs, alike)
+    used_up(alike)
+    units = _in_units(words)
 
     place = F.struct("doc_id", "line_no")
     # three joins read the variants; making them takes longer than reading them back
-    spread = cut(words.select("doc_id", "line_no", "n", F.explode(_variants(F.col("words"), F.col("n"))).alias("v")).select("doc_id", "line_no", "n", "v.i", "v.key"))
-    spread = spread.select("n", "i", "key", place.alias("at"))
+    spread = cut(_variants(units)).withColumn("at", place)
     z = F.pmod("key", F.lit(2))
-    substitutions = spread.filter(F.col("n") >= MIN_WORDS).withColumn("z", z)
-    hubs = substitutions.groupBy("key", "i", "n").agg(F.min("at").alias("hub"), F.max("at").alias("last")).filter("hub < last").withColumn("z", z)
-    by_hub = substitutions.join(hubs, ["key", "i", "n", "z"]).filter("hub < at").select("at", "hub")
-    whole = words.select(F.col("h").alias("key"), place.alias("short"), (F.col("n") + 1).alias("n"))
-    by_length = spread.filter(F.col("n") >= MIN_WORDS).select("key", "n", F.col("at").alias("long")).join(whole, ["key", "n"])
-    pairs = by_hub.unionByName(by_length.select(F.greatest("long", "short").alias("at"), F.least("long", "short").alias("hub"))).distinct()
-
-    of = lambda name: words.select(place.alias(name), F.col("words").alias(f"{name}_words"))
-    both = pairs.join(of("at"), "at").join(of("hub"), "hub")
-    shorter_first = F.size("at_words") <= F.size("hub_words")
-    verified = both.filter(F.when(shorter_first, _one_edit(F.col("at_words"), F.col("hub_words"))).otherwise(_one_edit(F.col("hub_words"), F.col("at_words"))))
+    substitutions = spread.filter(F.col("n") >= UNITS).select("chars", "n", "i", "key", "at").withColumn("z", z)
+    hubs = substitutions.groupBy("key", "i", "n", "chars").agg(F.min("at").alias("hub"), F.max("at").alias("last")).filter("hub < last").withColumn("z", z)
+    by_hub = substitutions.join(hubs, ["key", "i", "n", "chars", "z"]).filter("hub < at").select("chars", "at", "hub")
+    whole = spread.filter("i = 0").select(F.col("whole").alias("key"), F.col("at").alias("short"), (F.col("n") + 1).alias("n"), "chars")
+    by_length = spread.filter(F.col("n") >= UNITS).select("key", "n", "chars", F.col("at").alias("long")).join(whole, ["key", "n", "chars"])
+    pairs = by_hub.unionByName(by_length.select("chars", F.greatest("long", "short").alias("at"), F.least("long", "short").alias("hub"))).distinct()
+
+    of = lambda name: units.select("chars", place.alias(name), F.col("units").alias(f"{name}_units"))
+    both = pairs.join(of("at"), ["at", "chars"]).join(of("hub"), ["hub", "chars"])
+    shorter_first = F.size("at_units") <= F.size("hub_units")
+    verified = both.filter(F.when(shorter_first, _one_edit(F.col("at_units"), F.col("hub_units"))).otherwise(_one_edit(F.col("hub_units"), F.col("at_units"))))
     earliest = verified.groupBy("at").agg(F.min("hub").alias("match"))
     return earliest.join(words.select("h", "g", place.alias("at")), "at").select("h", "g", "match")
 

@@ -5,10 +5,10 @@ approximate a Gaussian kernel over them; each partition sums its part of the nor
 their total is calibrated by isotonic regression on training rows that the ridge didn't see.
 
 Rows whose crc32(doc_id as text) mod 5 is 0 are held out and never learned from; rows with remainder 1 calibrate, the others
-fit. At most SAMPLE labelled rows are used, chosen by a hash of doc_id. Labels, language, source and id are no inputs.
+fit. At most SAMPLE labels are used, chosen by a hash of doc_id. Labels, language, source and id are no inputs.
 
 A null text counts as empty, and is scored like any other. Null labels are ignored; several labels for one doc_id count
-each. Without labels of both kinds all scores are the share of label 1, or 0.5 without any. Rows keep their doc_id, null
+each, of several texts the last in order. Without labels of both kinds all scores are the share of label 1, or 0.5 without any. Rows keep their doc_id, null
 (not held out) or repeated, one for one; further columns are left behind. An empty table gives an empty result.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, flagged, python_pass, slices, texts_of
+from tessera.llm.common import bounded_sample, cut, one_text_each, python_pass, slices, texts_of
 
 SAMPLE = 50_000
 COSINES = 256
@@ -110,9 +110,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("quality") > 0, 1.0).otherwise(0.0).alias("y"), remainder(F.col("doc_id")).cast("int").alias("part")
     )
-    chosen = cut(known.filter("part != 0").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample))
-    texts = flagged(texts_of(docs), chosen, "doc_id").filter("_hit").select("doc_id", "text")
-    return cut(python_pass(texts, _features, "doc_id long, stats array<double>").join(chosen, "doc_id").select("stats", "y", "part").repartition(PARTS))
+    chosen = bounded_sample(known.filter("part != 0"), sample, "y")
+    return cut(python_pass(one_text_each(docs, chosen), _features, "doc_id long, stats array<double>").join(chosen, "doc_id").select("stats", "y", "part").repartition(PARTS))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -5,11 +5,12 @@ inflected forms that the labels lack. Grades are 0 for rows labelled clean, and
 or more distinct features that go with the label than their median. One weight vector serves both ordered thresholds:
 P(grade >= k) = sigmoid(w x - t_k), t_1 < t_2; the expected severity is the sum of both.
 
-The model is fitted on at most SAMPLE labelled rows, chosen by a hash of doc_id; all documents are scored in one narrow pass.
-Features must occur in MIN_DOCS toxic rows and be associated with the label by Z standard errors.
+The model is fitted on at most SAMPLE labelled documents, chosen by a hash of doc_id; all documents are scored in one narrow pass.
+Features must occur in MIN_DOCS toxic rows and be associated with the label by Z standard errors; all that are so go into the model.
+Labels have two values only, so the second grade is a matter of how much speaks for the label, not of a severity that someone judged.
 
 A null text counts as empty; texts without known features have the severity of the thresholds alone, near 0. Labels that
-are null are ignored; of several labels for one doc_id the highest counts. Without labels of both kinds, every severity is
+are null are ignored; of several labels for one doc_id the highest counts, of several texts the last in order. Without labels of both kinds, every severity is
 0 and nothing is rejected. Rows keep their doc_id, null or repeated, one for one. An empty table gives an empty result.
 """
 
@@ -25,12 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, flagged, python_pass, slices, texts_of
+from tessera.llm.common import bounded_sample, cut, one_text_each, python_pass, slices, texts_of
 
-#: Labelled rows that the fit uses at most.
+#: Labelled documents that the fit uses at most, and so a bound of all that it gathers.
 SAMPLE = 20_000
-#: Features that the model has at most.
-FEATURES = 4096
 MIN_DOCS, Z = 4, 5.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Probability of grade 1 or higher from which a document is rejected.
@@ -98,9 +97,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """text and toxic (0, 1) of at most ``sample`` labelled rows."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
-    chosen = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    texts = flagged(texts_of(docs), chosen, "doc_id").filter("_hit").select("doc_id", "text")
-    return cut(texts.join(chosen, "doc_id").select("text", "toxic"))
+    chosen = bounded_sample(known, sample)
+    return cut(one_text_each(docs, chosen).join(chosen, "doc_id").select("text", "toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -112,8 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n1, n0 = totals[1], totals[0]
     p, q, both = F.col("a") / n1, F.col("b") / n0, (F.col("a") + F.col("b")) / (n1 + n0)
     z = (p - q) / F.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
-    top = counts.filter(F.col("a") >= MIN_DOCS).withColumn("z", z).filter(F.col("z") >= Z).orderBy(F.desc("z"), "f").limit(FEATURES)
-    names = [r.f for r in top.select("f").collect()]
+    names = sorted(r.f for r in counts.filter(F.col("a") >= MIN_DOCS).filter(z >= Z).select("f").collect())
     probe = Model(dict.fromkeys(names, 0.0))
     place = {f: i for i, f in enumerate(names)}
 
@@ -128,24 +125,41 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return _fit(names, [r.ids for r in sparse], np.array([r.toxic for r in sparse]), np.array([r.n for r in sparse], float))
 
 
+class Problem:
+    """Weighted likelihood of grades under one weight vector, a first threshold and the log of the gap to the second."""
+
+    def __init__(self, size: int, rows: list[list[int]], toxic: np.ndarray, times: np.ndarray, ridge: float):
+        self.size, self.n, self.ridge, self.share = size, len(rows), ridge, times / times.sum()
+        sizes = np.array([len(r) for r in rows])
+        self.grade = np.where(toxic == 1, np.where(sizes >= np.median(np.repeat(sizes[toxic == 1], times[toxic == 1].astype(int))), 2, 1), 0)
+        self.row = np.repeat(np.arange(self.n), sizes)
+        self.col = np.concatenate([np.array(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
+
+    def start(self) -> np.ndarray:
+        return np.concatenate([np.zeros(self.size), [1.0, 1.0]])
+
+    def loss(self, state: np.ndarray) -> tuple[float, np.ndarray]:
+        """What is to be made small, and its gradient."""
+        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+        score = np.bincount(self.row, state[self.col], self.n)
+        t1, gap = state[-2], np.exp(state[-1])
+        a, b = sigmoid(score - t1), sigmoid(score - t1 - gap)  # P(>= 1), P(>= 2)
+        likely = np.choose(self.grade, [1 - a, a - b, b]) + 1e-12
+        da = np.choose(self.grade, [-1 / likely, 1 / likely, 0 * likely]) * a * (1 - a)
+        db = np.choose(self.grade, [0 * likely, -1 / likely, 1 / likely]) * b * (1 - b)
+        slope = -self.share * (da + db)
+        value = -(self.share * np.log(likely)).sum() + self.ridge / 2 * (state[:-2] ** 2).sum()
+        weights = np.bincount(self.col, slope[self.row], self.size) + self.ridge * state[:-2]
+        return float(value), np.concatenate([weights, [(self.share * (da + db)).sum(), (self.share * db).sum() * gap]])
+
+
 def _fit(names: list[str], rows: list[list[int]], toxic: np.ndarray, times: np.ndarray, steps: int = 600, ridge: float = 3e-5) -> Model:
-    """Weighted maximum likelihood by Adam steps over all rows."""
-    sizes = np.array([len(r) for r in rows])
-    grade = np.where(toxic == 1, np.where(sizes >= np.median(np.repeat(sizes[toxic == 1], times[toxic == 1].astype(int))), 2, 1), 0)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    col = np.concatenate([np.array(r, np.int64) for r in rows]) if len(row) else np.zeros(0, np.int64)
-    share = times / times.sum()
-    state = np.concatenate([np.zeros(len(names)), [1.0, 1.0]])  # weights, first threshold, log of the gap to the second
+    """Maximum likelihood by Adam steps over all rows."""
+    problem = Problem(len(names), rows, toxic, times, ridge)
+    state = problem.start()
     first, second = np.zeros_like(state), np.zeros_like(state)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
     for step in range(1, steps + 1):
-        score = np.bincount(row, state[col], len(rows)) if len(row) else np.zeros(len(rows))
-        t1, gap = state[-2], np.exp(state[-1])
-        a, b = sigmoid(score - t1), sigmoid(score - t1 - gap)  # P(>= 1), P(>= 2)
-        likely = np.choose(grade, [1 - a, a - b, b]) + 1e-12
-        da, db = np.choose(grade, [-1 / likely, 1 / likely, 0 * likely]) * a * (1 - a), np.choose(grade, [0 * likely, -1 / likely, 1 / likely]) * b * (1 - b)
-        slope = -share * (da + db)
-        grad = np.concatenate([np.bincount(col, slope[row], len(names)) + ridge * state[:-2], [(share * (da + db)).sum(), (share * db).sum() * gap]])
+        _, grad = problem.loss(state)
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         state = state - 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return Model(dict(zip(names, state[:-2].tolist(), strict=True)), (float(state[-2]), float(state[-2] + np.exp(state[-1]))))

@@ -6,6 +6,7 @@ import html
 import itertools
 import random
 import re
+import zlib
 
 import corpus_pipeline
 import duckdb
@@ -127,6 +128,23 @@ def test_near_dedup(spark, monkeypatch, block):
             assert (r.component_id, r.n_shingles, r.kept) == (want[r.doc_id], len(sets[r.doc_id]), r.doc_id == want[r.doc_id])
 
 
+def test_near_dedup_splits_hot_buckets(spark):
+    """20,000 members of one bucket that no other band brings together: rows in proportion to them, and no comparison."""
+    at, n = near_dedup.Threshold(85), 20_000
+    minima = np.random.default_rng(4).integers(0, 2**32, (n, at.hashes), np.uint32)
+    minima[:, :5] = 7
+    minima[1] = minima[0]  # but for these two
+    reps = spark.createDataFrame([(i, 50, m.astype("<u4").tobytes()) for i, m in enumerate(minima)], "doc_id long, n_shingles long, minima binary").cache()
+    members = near_dedup._bands(reps, at.bands).withColumn("component", near_dedup.F.col("doc_id")).filter("band = 0")
+    opened = near_dedup._open(members.withColumn("also", near_dedup.F.lit(-1)).join(reps.select("doc_id", "n_shingles"), "doc_id"))
+    assert opened.count() == n
+    split = near_dedup._split(opened.join(reps.select("doc_id", "minima"), "doc_id"), at.bands)
+    assert split.count() == n * (at.bands - 1)
+    assert {r.doc_id for r in near_dedup._blocks(near_dedup._open(split)).collect()} == {0, 1}
+    docs = docs_of(spark, [(0, "same words of two texts here"), (1, "same words of two texts here")])
+    assert [tuple(r) for r in near_dedup._late_links(members, reps, docs, at).collect()] == [(0, 1)]
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup.near_dedup(docs_of(spark, [])).count() == 0
     assert near_dedup.keep_one(docs_of(spark, [(1, "a"), (2, None)])).count() == 2
@@ -149,20 +167,33 @@ def edits_at_most_one(a, b):
     return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
+def lines_alike(v, w):
+    if v == w:
+        return True
+    if max(len(v), len(w)) < 5:
+        v, w = " ".join(v), " ".join(w)
+    return max(len(v), len(w)) >= 5 and edits_at_most_one(v, w)
+
+
 def lines_by_hand(rows):
     occurrences = [((i is not None, i or 0), i, k, tuple(line.split())) for i, t in rows for k, line in enumerate((t or "").split("\n"))]
     out = []
     for at, i, k, w in occurrences:
-        near = [(a, n, j) for a, j, n, v in occurrences if w and (v == w or max(len(v), len(w)) >= 5 and min(len(v), len(w)) >= 4 and edits_at_most_one(v, w))]
+        near = [(a, n, j) for a, j, n, v in occurrences if w and v and lines_alike(v, w)]
         a, n, j = min(near, default=(at, k, i), key=lambda x: x[:2])
         out.append((i, k, (i, k) == (j, n), j, n))
     return out
 
 
 def test_line_dedup(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 4)))
+    mixed = [(300 + i, "\n".join(" ".join(word() for _ in range(rnd.choice((0, 1, 1, 2, 3, 4, 5, 6)))) for _ in range(4))) for i in range(60)]
     rows = [
         (5, "a b c d e f\nx y"), (2, "a b c d e g\n\nx y"), (9, "a b c d e\n a  b\tc d e f "), (7, "q w e r t y u\nq w e r t y\nq w r t y u"),
         (11, "b c d e f\none two three four five"), (12, "zero one two three four five\none two three four"), (1, None), (None, "a b c d e z"), (13, "a a a a a\na a a a a a"),
+        (14, "Read more\nread more\nRead mores\n\u00e9\u00e9\U0001f600 \u4e2d"), (15, "Read  more\nRad more\nabcd\nabce\nabcde\nabcdf\n\u00e9\u00e9\U0001f601 \u4e2d"), (16, "a b c dd\na b c d"),
+        (17, "twice the same row of words\nand more"), (17, "twice the same row of words\nand more"), *mixed,
         *[(100 + i, f"same words but number {i} here") for i in range(40)],
     ]
     got = [tuple(r) for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()]
@@ -172,6 +203,14 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_of_very_long_lines(spark):
+    words = [f"w{i}" for i in range(100_000)]
+    less, other, chars = [*words[:70_000], *words[70_001:]], [*words[:10], "x", *words[11:]], "abcdefghij" * 30_000
+    rows = [(1, " ".join(words)), (2, " ".join(less)), (3, " ".join(other)), (4, " ".join(words[:-2])), (5, chars), (6, chars + "k"), (7, "b" + chars + "k"), (8, "same " * 100_000), (9, "same " * 100_001)]
+    got = {r.doc_id: r.keep_doc_id for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 6, 8: 8, 9: 8}
+
+
 STRANGE = ["", "It's  we'll x \x1c\x85", "<|endoftext|> and <|startoftext|>", "Ünï ﬁ ǅ İ ΑΣ 中文 é", "a" * 5000, "!!'s ''t 1234 ½ ²", "\U0001f600‍ x", "tab\t\n\r\n  end  "]
 
 
@@ -347,12 +386,82 @@ def test_toxicity(spark):
     rows = toxicity.score(docs, model).collect()
     held = [r for r in rows if r.doc_id in toxic and r.doc_id % 2]
     assert sum(r.kept for r in held if not toxic[r.doc_id]) >= 0.98 * sum(not toxic[r.doc_id] for r in held)
-    assert sum(not r.kept for r in held if toxic[r.doc_id]) >= 0.6 * sum(toxic[r.doc_id] for r in held)
+    assert sum(not r.kept for r in held if toxic[r.doc_id]) >= 0.7 * sum(toxic[r.doc_id] for r in held)
     assert model.thresholds[0] < model.thresholds[1]
     kept = toxicity.keep_clean(docs, labels.filter("doc_id % 2 = 0"))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.kept}
 
 
+def toxicity_problem():
+    rnd = random.Random(8)
+    rows = [sorted(rnd.sample(range(12), rnd.randrange(6))) for _ in range(200)]
+    return toxicity.Problem(12, rows, np.array([int(sum(r) > rnd.randrange(30)) for r in rows]), np.array([float(rnd.randrange(1, 4)) for _ in rows]), 1e-3), rows
+
+
+def test_toxicity_gradient_and_optimum():
+    """The gradient against finite differences, the fit against gradient descent with a line search."""
+    problem, rows = toxicity_problem()
+    rng = np.random.default_rng(0)
+    for _ in range(5):
+        state = rng.normal(size=14)
+        _, grad = problem.loss(state)
+        for i in range(14):
+            step = np.zeros(14)
+            step[i] = 1e-5
+            assert abs((problem.loss(state + step)[0] - problem.loss(state - step)[0]) / 2e-5 - grad[i]) < 1e-6
+    state = problem.start()
+    for _ in range(20_000):
+        value, grad = problem.loss(state)
+        size = 8.0
+        while problem.loss(state - size * grad)[0] > value - 0.3 * size * (grad**2).sum() and size > 1e-9:
+            size /= 2
+        state = state - size * grad
+        if np.abs(grad).max() < 1e-7:
+            break
+    names = [str(i) for i in range(12)]
+    toxic, times = (problem.grade > 0).astype(int), problem.share * 1000
+    model = toxicity._fit(names, rows, toxic, np.round(times), 3000, 1e-3)
+    again = toxicity.Problem(12, rows, toxic, np.round(times), 1e-3)
+    assert again.loss(np.array([*model.weights.values(), model.thresholds[0], np.log(model.thresholds[1] - model.thresholds[0])]))[0] < again.loss(state)[0] + 1e-4
+
+
+def test_expected_severity_by_hand():
+    model = toxicity.Model({"bad$": 2.0, "wor": 1.5, "worse$": 1.0}, (1.0, 3.0))
+    s = lambda x: 1 / (1 + np.exp(-x))
+    assert model.present("Bad, WORSE bad good") == {"bad$", "wor", "worse$"}
+    assert np.allclose(model.tail("Bad, WORSE bad good"), [s(3.5), s(1.5)]) and np.allclose(model.tail("work"), [s(0.5), s(-1.5)])
+
+
+def test_fits_are_bounded_by_labels(spark):
+    """Ids that repeat in documents give one row each; more labels than the sample holds are cut down to it."""
+    docs = docs_of(spark, [(1, f"text {i}") for i in range(3000)] + [(i, f"words {i}") for i in range(2, 400)] + [(None, "no id")])
+    labels = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(400)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.training_rows(docs, labels).count() == 399 and toxicity.training_rows(docs, labels, 50).count() in (49, 50)  # document 0 is missing
+    ours = sum(1 for i in range(1, 400) if zlib.crc32(str(i).encode()) % 5)
+    assert quality.training_rows(docs, labels).count() == ours and quality.training_rows(docs, labels, 50).count() in (49, 50)
+
+
+def test_quality_solves_the_ridge_on_all_rows(spark):
+    """The partition-summed normal equations against one dense least-squares problem over all training rows."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    marks = {r.doc_id: float(r.quality > 0) for r in labels.collect()}
+    rows = [(quality.statistics(r.text or ""), marks[r.doc_id], zlib.crc32(str(r.doc_id).encode()) % 5) for r in docs.collect() if r.doc_id in marks]
+    x, y = np.array([s for s, _, p in rows if p > 1]), np.array([q for _, q, p in rows if p > 1])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.maximum(x.std(0), 1e-6))
+    z = model.cosines(x)
+    ridge = np.sqrt(quality.RIDGE * len(z)) * np.eye(z.shape[1])[:-1]  # the constant isn't shrunk
+    want = np.linalg.lstsq(np.vstack([z, ridge]), np.concatenate([y, np.zeros(len(ridge))]), rcond=None)[0]
+    assert np.allclose(z @ model.weights, z @ want, atol=1e-5)
+    exact = np.exp(-((x[:40, None] - x[None, :40]) ** 2 / model.scale**2).sum(2) / 2 / x.shape[1])
+    inside = (np.abs((x[:40] - model.mean) / model.scale) <= 8).all(axis=1)
+    near = z[:40, :-1] @ z[:40, :-1].T
+    assert np.abs(near - exact)[np.ix_(inside, inside)].mean() < 0.08
+    raw = model.raw(np.array([s for s, _, p in rows if p == 1]))
+    held = np.array([q for _, q, p in rows if p == 1])
+    assert np.allclose(np.interp(raw, *model.steps), np.interp(raw, *quality.isotonic(raw, held)))
+
+
 def test_toxicity_odd(spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
     model = toxicity.fit(docs_of(spark, ODD), labels)
