@@ -61,9 +61,18 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[ends[0] : ends[-1]], ends - ends[0]
 
 
+#: Bytes for which scatter indices, eight times their size, are made at a time.
+SCATTERED = 1 << 18
+
+
 def _scatter(out: np.ndarray, at: np.ndarray, data: np.ndarray, ends: np.ndarray) -> None:
     """Copies row i of ``data`` to ``out`` from ``at[i]`` on."""
-    out[np.arange(len(data)) + np.repeat(at - ends[:-1], np.diff(ends))] = data
+    shift = at - ends[:-1]
+    for start in range(0, len(data), SCATTERED):
+        stop = min(start + SCATTERED, len(data))
+        first, last = np.searchsorted(ends, start, "right") - 1, np.searchsorted(ends, stop, "left")
+        times = np.diff(np.clip(ends[first : last + 1], start, stop))
+        out[np.arange(start, stop) + np.repeat(shift[first:last], times)] = data[start:stop]
 
 
 def assemble(conv: pa.Array, role: pa.Array, text: pa.Array) -> tuple[np.ndarray, pa.RecordBatch]:
@@ -187,3 +196,14 @@ def with_control_strings(spark: SparkSession, conversations: DataFrame) -> DataF
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return conversations.select("conv_id", "turn", "role", "text").union(more)
+
+
+ORACLE = r"""WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, length(role) + length(text) + 33 + len(regexp_extract_all(role, '<\\*(\||/?s>)|\[\\*/?INST\]'))
+  + len(regexp_extract_all(text, '<\\*(\||/?s>)|\[\\*/?INST\]')) AS chars FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, CAST(sum(chars) AS BIGINT) AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""

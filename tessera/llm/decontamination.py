@@ -1,26 +1,29 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Texts become sequences of words, lower-cased, without the punctuation around them. An item of m words of which up to 20 %
-are edited keeps at least G - 3 k of its G trigrams, k = 0.2 m. So of any 3 k + 2 of its trigrams at least two are left: only
-the rarest that many are seeds, the others are never looked up. Rarity is that of the trigram, then of its words, within
-the benchmark: in the corpus, the trigrams of a passage that leaked often are frequent.
-
-Documents are read in one narrow pass. The index of the seeds is sent along; it holds at most BLOCK_BYTES of benchmark text,
-and a larger benchmark takes several passes. Where two seeds of an item lie on close diagonals (one, in items of so few words
-that two needn't be left), the item is aligned to the words around them: match 2, mismatch and gap -1. A pair counts from
-0.7 of the item's own score, which 20 % of edited words leave.
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, then Smith-Waterman alignment.
+
+Texts become sequences of words, lower-cased, without the punctuation around them.
+
+1. One narrow pass over the documents finds the trigrams that the benchmark may have, by a bitmap of bounded size. Documents without
+   any go no further.
+2. Rarity is the number of documents that hold a trigram. An item of m words of which up to 20 % are edited keeps at least G - 3 k
+   of its G trigrams, k = 0.2 m; so of any 3 k + 2 at least two are left. Of those that any document holds, only the rarest that
+   many are seeds.
+3. Trigrams of documents are joined to seeds by shuffle, whatever the size of either side. Equal texts are one passage there. A pair
+   of a text and an item is a candidate if two seeds (one, in items of so few words that two needn't be left) lie on close diagonals;
+   diagonals of trigrams that repeat too often aren't listed, such a pair always is one.
+4. Candidates' texts are read again, by a bitmap of ids, and dealt out with their items, at most about PAIRS for each copy of a text.
+   The item is aligned to the words around its trigrams: match 2, mismatch and gap -1. A pair counts from 0.7 of the item's own
+   score, which 20 % of edited words leave, or from the score of a literal passage of PASSAGE words.
 
 Items of fewer than three words are not looked for; null texts count as empty; rows without doc_id or item_id are reported
 with a null. Documents that repeat a doc_id are reported for each; benchmark rows that repeat an item_id and its text are one
-item, so that no group of copies, however large, comes to the driver. Empty tables give an empty result; other columns are
-left behind, but by ``keep_clean``, which returns the rows as they were and decides on each by its own text.
+item. Empty tables give an empty result; other columns are left behind, but by ``keep_clean``, which returns the rows as they
+were and decides on each by its own text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, python_pass, sha256_of, slices, texts_of, without
+from tessera.llm.common import cut, flagged, mix, python_pass, sha256_of, slices, texts_of, used_up, without
 
 GRAM = 3
 EDITED = 0.2
 SCORE = 0.7
-BLOCK_BYTES = 4_000_000
+#: A part of an item that counts by itself, whatever the item's length.
+PASSAGE = 50
+#: Bits of the benchmark's bitmap; 8 MB whatever the benchmark.
+GRAM_BITS = 26
+#: Diagonals that one trigram of a pair is listed by at most; those of more make a candidate unseen.
+LISTED = 256
+#: Items that go with one copy of a text, about.
+PAIRS = 256
+#: Places of an item's trigrams in a text that are sorted into diagonals at most; beyond, the item is aligned to all that lies between.
+PLACES = 200_000
 CACHED = 200_000
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -87,100 +99,152 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-class Index:
-    """The seeds of a block of items."""
-
-    def __init__(self, items: list[tuple[int | None, str]]):
-        cache = _Words()
-        self.ids, self.words, rows = [], [], []
-        spoken = [(i, word_hashes(t, cache)) for i, t in items]
-        of_words, of_grams = Counter(), Counter()
-        for _, w in spoken:
-            of_words.update(set(w.tolist()))
-            of_grams.update(set(grams(w).tolist()))
-        for item, w in spoken:
-            g = grams(w).tolist()
-            if not g:
-                continue
-            edits = math.floor(EDITED * len(w))
-            seeds = min(len(g), GRAM * edits + 2)
-            rarity = sorted(range(len(g)), key=lambda p: (of_grams[g[p]], sum(of_words[x] for x in w[p : p + GRAM].tolist()), p))
-            rows += [(g[p], len(self.ids), p) for p in rarity[:seeds]]
-            self.ids.append(item)
-            self.words.append(w)
-        rows.sort()
-        self.keys = np.array([r[0] for r in rows], np.uint64)
-        self.item = np.array([r[1] for r in rows], np.int64)
-        self.place = np.array([r[2] for r in rows], np.int64)
-        # duplicates among an item's words make seeds that one occurrence meets twice; then one must do
-        left = [len(w) - GRAM + 1 - GRAM * math.floor(EDITED * len(w)) for w in self.words]
-        self.least = np.array([2 if n >= 2 else 1 for n in left], np.int64)
-        #: How far the diagonals of one occurrence may drift apart.
-        self.reach = np.array([max(1, math.floor(EDITED * len(w))) for w in self.words], np.int64)
-
-    def matches(self, words: np.ndarray) -> list[tuple[int | None, float, int]]:
-        """item_id, score and word position of the end, the best for each item that the words hold."""
-        g = grams(words)
-        low, high = np.searchsorted(self.keys, g, "left"), np.searchsorted(self.keys, g, "right")
-        hit = np.flatnonzero(high > low)
-        if not len(hit):
-            return []
-        times = (high - low)[hit]
-        rows = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        item, diagonal = self.item[rows], np.repeat(hit, times) - self.place[rows]
-        order = np.lexsort((diagonal, item))
-        item, diagonal = item[order], diagonal[order]
-        found: dict[int, tuple[float, int]] = {}
-        reach = self.reach[item]
-        new = np.concatenate([[True], (item[1:] != item[:-1]) | (np.diff(diagonal) > reach[1:])])
-        starts = np.flatnonzero(new)
-        for a, b in zip(starts, [*starts[1:], len(item)], strict=True):
-            k = int(item[a])
-            if b - a < self.least[k]:
-                continue
-            own, slack = self.words[k], int(reach[a])
-            first = max(0, int(diagonal[a]) - slack)
-            score, end = align(own, words[first : int(diagonal[b - 1]) + len(own) + slack])
-            score /= 2 * len(own)
-            if score >= SCORE and score > found.get(k, (0.0, 0))[0]:
-                found[k] = (score, first + end)
-        return [(self.ids[k], s, e) for k, (s, e) in sorted(found.items())]
+def edits(words: int) -> int:
+    return math.floor(EDITED * words)
+
+
+def _best(item: np.ndarray, words: np.ndarray, order: np.ndarray, ordered: np.ndarray) -> tuple[int, int]:
+    """The best score of an item in a text and the word at its end, or 0. ``ordered``: the text's trigrams, sorted, ``order``: where they are."""
+    wanted, m = grams(item), len(item)
+    low, high = np.searchsorted(ordered, wanted, "left"), np.searchsorted(ordered, wanted, "right")
+    times = high - low
+    slack = max(1, edits(m))
+    if not (total := int(times.sum())):
+        return 0, 0
+    if total > PLACES:
+        found = np.concatenate([order[a:b] for a, b in {(int(a), int(b)) for a, b in zip(low, high, strict=True)}])
+        spans = [(int(found.min()) - m - slack, int(found.max()) + m + slack)]
+    else:
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(total)
+        diagonal = np.sort(order[at] - np.repeat(np.arange(len(wanted)), times))
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(diagonal) > slack]))
+        ends = np.append(starts[1:], total)
+        least = 2 if len(wanted) - GRAM * edits(m) >= 2 else 1
+        spans = [(int(diagonal[a]) - slack, int(diagonal[b - 1]) + m + slack) for a, b in zip(starts, ends, strict=True) if b - a >= least]
+    best, end = 0, 0
+    for first, last in spans:
+        first = max(0, first)
+        score, stop = align(item, words[first:last])
+        if score > best:
+            best, end = score, first + stop
+    return best, end
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
-    """The items, at most about BLOCK_BYTES of text at a time."""
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """item, a hash of id and text, item_id, the number of words, their hashes, and trigrams by place."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // BLOCK_BYTES)
-    for i in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        yield [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]
-
 
-_LEAK = "doc_id long, item_id long, score double, end_word long, digest string"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Words()
+        for batch in slices(batches):
+            words = [word_hashes(t, cache) for t in batch.column(2).to_pylist()]
+            columns = [pa.array(map(len, words), pa.int32()), pa.array([w.tobytes() for w in words], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, _lists([grams(w) for w in words])], ["item", "item_id", "m", "words", "grams"])
+
+    keyed = rows.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text")
+    return python_pass(keyed, run, "item long, item_id long, m int, words binary, grams array<long>").filter(F.col("m") >= GRAM)
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    flat = np.concatenate(values).view(np.int64) if len(values) else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def _bitmap(wanted: DataFrame) -> np.ndarray:
+    """The benchmark's trigrams as a hashed bitmap."""
+    slot = F.col("gram").bitwiseAND((1 << GRAM_BITS) - 1)
+    parts = wanted.select(F.shiftright(slot, 15).alias("part"), slot.bitwiseAND(32767).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((1 << GRAM_BITS) >> 3, np.uint8)
+    for r in parts.collect():
+        out[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, the SHA-256 of the text, and trigrams with their places, of documents with trigrams that the benchmark may have."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, bits, mask = _Words(), bitmap.value, np.uint64((1 << GRAM_BITS) - 1)
+        for batch in slices(batches):
+            rows, found, places = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                g = grams(word_hashes(text, cache))
+                slot = (g & mask).astype(np.int64)
+                at = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                if len(at):
+                    rows.append((i, hashlib.sha256(text.encode()).hexdigest()))
+                    found.append(g[at])
+                    places.append(at)
+            ids = batch.column(0).take(pa.array([i for i, _ in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([d for _, d in rows], pa.string()), _lists(found), _lists(places)], ["doc_id", "digest", "grams", "places"])
+
+    return python_pass(texts_of(docs), run, "doc_id long, digest string, grams array<long>, places array<long>")
+
+
+def seeds(items: DataFrame, found: DataFrame) -> DataFrame:
+    """gram, item, the places that it has there, and the item's m: of each item the trigrams that the fewest documents, but any, hold."""
+    held = found.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    each = items.select("item", "m", F.posexplode("grams").alias("place", "gram")).join(held, "gram")
+    ranked = each.groupBy("item", "m").agg(F.sort_array(F.collect_list(F.struct("df", "place", "gram"))).alias("ranked"))
+    chosen = ranked.select("item", "m", F.explode(F.slice("ranked", F.lit(1), GRAM * F.floor(F.col("m") * EDITED).cast("int") + 2)).alias("s"))
+    return chosen.groupBy(F.col("s.gram").alias("gram"), "item", "m").agg(F.collect_list("s.place").alias("at"))
+
+
+def candidates(found: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The pairs (digest, item) that seeds on close diagonals make, or trigrams that are too frequent in both to list them."""
+    spelled = found.select("digest", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("digest", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
+    # copies of a text say the same
+    spelled = spelled.distinct().groupBy("digest", "gram").agg(F.collect_list("place").alias("places"))
+    met = spelled.join(chosen, "gram")
+    edited = F.floor(F.col("m") * EDITED)
+    reach, least = F.greatest(edited, F.lit(1)), F.when(F.col("m") - GRAM + 1 - GRAM * edited >= 2, 2).otherwise(1)
+    cell = lambda p, q: F.floor((p - q) / reach)
+    cells = F.flatten(F.transform("places", lambda p: F.flatten(F.transform("at", lambda q: F.array(cell(p, q), cell(p, q) - 1)))))
+    listed = F.when(F.size("places") * F.size("at") > LISTED, F.array(F.lit(None).cast("long"))).otherwise(cells)
+    near = met.select("digest", "item", least.alias("least"), F.explode(listed).alias("cell")).groupBy("digest", "item", "least", "cell").agg(F.count("*").alias("n"))
+    return near.filter("n >= least OR cell IS NULL").select("digest", "item").distinct()
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text, and after it the items to align to it."""
+    cache, words = _Words(), np.zeros(0, np.uint64)
+    order = ordered = words
+    for batch in slices(batches):
+        rows = []
+        for digest, _, item, text, item_id, spoken in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if item is None:
+                words = word_hashes(text, cache)
+                g = grams(words)
+                order = np.argsort(g, kind="stable")
+                ordered = g[order]
+                continue
+            own = np.frombuffer(spoken, np.uint64)
+            score, end = _best(own, words, order, ordered)
+            if score >= min(SCORE * 2 * len(own), 2 * PASSAGE):
+                rows.append((digest, item_id, score / (2 * len(own)), end))
+        kinds = (pa.string(), pa.int64(), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["digest", "item_id", "score", "end_word"])
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``leaks`` and the SHA-256 of the document's text."""
-    out: DataFrame | None = None
-    for items in _blocks(benchmark):
-        index = Index(items)
-
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            cache = _Words()
-            for batch in slices(batches):
-                rows = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if found := index.matches(word_hashes(text, cache)):
-                        digest = hashlib.sha256(text.encode()).hexdigest()
-                        rows += [(doc, *m, digest) for m in found]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string())
-                names = ["doc_id", "item_id", "score", "end_word", "digest"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
-
-        part = python_pass(texts_of(docs), run, _LEAK)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], _LEAK) if out is None else out
+    items = cut(items_of(benchmark))
+    found = cut(hits(docs, items.select(F.explode("grams").alias("gram"))))
+    pairs = cut(candidates(found, seeds(items, found)))
+    wanted = pairs.groupBy("digest").agg(F.ceil(F.count("*") / PAIRS).alias("parts"))
+    reps = cut(found.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(wanted, "digest"))
+    texts = flagged(texts_of(docs), reps, "doc_id").filter("_hit").select(sha256_of(F.col("text")).alias("digest"), "text")
+    texts = texts.join(reps.select("digest", "parts"), "digest").dropDuplicates(["digest"])
+    texts = texts.select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "text")
+    spoken = pairs.join(reps.select("digest", "parts"), "digest").join(items.select("item", "item_id", "words"), "item")
+    spoken = spoken.select("digest", F.pmod(F.xxhash64("item"), F.col("parts")).alias("part"), "item", "item_id", "words")
+    dealt = texts.unionByName(spoken, allowMissingColumns=True).repartition("digest", "part").sortWithinPartitions("digest", "part", F.asc_nulls_first("item"))
+    kinds = "digest string, item_id long, score double, end_word long"
+    aligned = cut(python_pass(dealt.select("digest", "part", "item", "text", "item_id", "words"), _aligned, kinds))
+    used_up(items, pairs, reps)
+    return found.select("doc_id", "digest").join(aligned, "digest").select("doc_id", "item_id", "score", "end_word", "digest")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

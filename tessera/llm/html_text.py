@@ -1,23 +1,31 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is read once into events: tags and words. Words score what their share of words within the content of labelled pages is
-worth, tags cost by how often they stand outside of it; menus, footers, adverts and the like, told by element, role, class or id,
-are one event each, whatever they hold. Classes and ids that may as well name what a text is about tell them only of elements whose
-words are mostly links; headings are never told by them, nor is anything within an article but containers. A linear scan finds the contiguous run of events of the highest score; the blocks it
-touches are the text. White space within a block becomes one space, blocks are joined by line feeds in page order.
-
-Comments, scripts, styles and forms are no events. Elements that stay open to the end of the page end where an article or a
-main element opens. A null page counts as empty, a page without words has the text "". Rows keep their page_id and url, null or
-repeated, one for one; further columns are left behind. An empty table gives an empty result.
+A page is read once into events: words and tags, each of a kind. Kinds are plain words, words of links, words that an element's
+name, role, class or id tells to be menus, footers, adverts and the like, and tags by name. What an event of each kind is worth
+follows from labelled pages: words gain what their share within the labelled content is above a half, and cost what it is below;
+tags cost by how often they stand outside of it. A linear scan finds the contiguous run of events of the highest score; the
+blocks it touches are the text. It begins and ends with words that gain; words told by an element between such words are left out.
+White space within a block becomes one space, blocks are joined by line feeds in page order.
+
+So that a run can go on after it, an element that is told costs at most BRIDGE words, and next to nothing within an article; links
+cost at most LINKED words a block. Classes and ids that may as well name what a text is about tell only elements whose
+words are mostly links; headings are never told by them, nor is anything within an article but containers.
+
+Comments, scripts, styles and forms' controls are no events. An element that is never closed ends where an article or a main
+element opens, and so does one that would hold an article with most of the page's words. A null page counts as empty, a page
+without words has the text "". Rows keep their page_id and url, null or repeated, one for one; further columns are left behind.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,7 +85,7 @@ BLOCK = {
 #: What ends an open element of this name that has no end tag of its own.
 ENDS = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
-#: Labelled pages: what stands between the marks is content.
+#: Labelled pages of several layouts: what stands between the marks is content.
 LABELLED = (
     '<body><nav><ul><li><a>home</a></li><li><a>news</a></li></ul></nav><div class="ad">buy this now</div><!--[--><article><h1>title of the page</h1>'
     "<p>first words of a long paragraph that tells a story <a>with a link</a> and goes on</p><p>and a second one</p></article><!--]--><footer>all rights reserved</footer></body>",
@@ -91,6 +99,17 @@ LABELLED = (
     "<body><div><a>start</a> <a>topics</a></div><!--[--><section><h1>a title</h1><div>first part of a text without paragraphs</div><div>second <span>part</span> of it</div>"
     "<section><h2>a part</h2><div>third part</div><table><tr><th>name</th><th>size</th></tr><tr><td>one</td><td>two</td></tr></table></section><div>last part</div></section><!--]-->"
     "<div><a>next</a> <a>back</a></div></body>",
+    '<body><header><div class="logo">the name of the site</div><nav><a>world</a> <a>sport</a></nav></header><div id="cookie-notice"><p>we use cookies on this site</p><button>fine</button></div>'
+    "<main><!--[--><article><header><h1>what happened</h1></header><p>a long report of the day begins here</p><!--]--><aside><h3>see also</h3><ul><li><a>another report</a></li></ul></aside>"
+    '<!--[--><p>and goes on after what stood beside it</p><!--]--><div class="share-buttons">send this to a friend</div></article></main>'
+    '<section id="comments"><h2>what readers say</h2><article class="comment"><p>I do not agree with any of this</p></article></section>'
+    "<footer><p>printed and published by the firm</p><ul><li><a>contact</a></li></ul></footer></body>",
+    '<body><div id="header"><h1>a journal of things</h1><p>its motto</p></div><div class="sidebar"><h3>about</h3><p>this journal is written by three friends</p></div><!--[--><div class="entry"><h2>an entry</h2>'
+    '<p>words of the entry</p><!--]--><div class="related">more of it: <a>one</a> <a>two</a></div><!--[--><p>more words of the entry, as many as there were before or more</p></div><!--]--><div class="comments"><p>first comment</p><p>second comment</p></div>'
+    '<div role="contentinfo">made with care</div></body>',
+    '<body><div class="topbar"><a>log in</a></div><div class="newsletter"><form><p>get the letter each week</p><input></form></div><!--[--><article><h1>a guide</h1><p>how it is done</p>'
+    '<ol><li>first this</li><li>then that</li></ol><!--]--><div class="ad-slot">an offer for you</div><p hidden>not to be seen</p><form><p>write to us</p></form><!--[--><h2>what is left</h2><p>nothing much is left to do</p></article><!--]-->'
+    '<aside><article class="teaser"><h3>another guide</h3><p>how it is not done</p></article></aside><footer>a note</footer></body>',
 )
 
 
@@ -110,183 +129,301 @@ def _told(name: str, key: str, token: str, in_article: bool) -> bool | None:
     return True if plain and (whole or key == "class" or name != "section") or whole and name != "section" else None
 
 
-def _is_chrome(name: str, attrs: str, in_article: bool, mostly_links: Callable[[], bool]) -> bool:
+def _tells(name: str, attrs: str, in_article: bool, mostly_links: bool) -> str:
+    """What tells an element that isn't the text's: its name, its own attributes, or its class or id. Empty if nothing does."""
     if name in CHROME and not (name == "header" and in_article):
-        return True
+        return f"<{name}>"
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower() or name in ("html", "body", "main"):
-        return False
+        return ""
     if _BARE_HIDDEN.search(attrs):
-        return True
+        return "hidden"
     for m in _ATTRIBUTE.finditer(attrs):
         key, given = m[1].lower(), m[2] or m[3] or m[4] or ""
         value = given.lower()
         if key in ("class", "id"):
             if name == "article":
                 if SIDE_ARTICLES.intersection(value.split()):
-                    return True
+                    return "class"
                 continue
             for token in given.split():
                 if not in_article and token.lower().replace("_", "-") in PAGE_HEADERS:
-                    return True
+                    return "class"
                 told = _told(name, key, token, in_article)
-                if told or told is None and mostly_links():
-                    return True
-        elif key == "role" and value in ROLES or key == "aria-hidden" and value == "true":
-            return True
-        elif key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
-
-
-def _skip(page: str, at: int, name: str) -> int:
-    """Where an element that opened before ``at`` ends."""
-    depth, ends = 1, ENDS.get(name, ())
-    for m in _TOKEN.finditer(page, at):
-        tag = (m["name"] or m["name2"] or "").lower()
-        if not tag:
-            continue
-        end = m["end"] or m["end2"]
-        if tag == name:
-            if not end and ends:
-                return m.start()
-            depth += -1 if end else 1
-            if not depth:
-                return m.end()
-        elif not end and (tag in ("article", "main") or tag in ends) or end and tag in ("body", "html"):
-            return m.start()
-    return len(page)
-
-
-def _of_links(page: str) -> dict[int, bool]:
-    """For each element, by where its tag ends, whether at least half of its words are in links. One pass, however deep they nest."""
-    opened: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
-    out: dict[int, bool] = {}
-    words = linked = 0
-    in_link, raw = False, ""
-
-    def close(at: int, words_before: int, linked_before: int) -> None:
-        out[at] = words > words_before and 2 * (linked - linked_before) >= words - words_before
-
-    for m in _TOKEN.finditer(page):
-        tag, end = (m["name"] or m["name2"] or "").lower(), m["end"] or m["end2"]
-        if raw:
-            raw = "" if end and tag == raw else raw
-        elif not tag:
-            if not m[0].startswith(("<!", "<?")):
-                count = len(html.unescape(m[0]).split())
-                words, linked = words + count, linked + count * in_link
-        elif tag in RAW:
-            raw = "" if end or (m["attrs"] or m["attrs2"] or "").endswith("/") and tag in ("svg", "math") else tag
-        else:
-            if tag == "a":
-                in_link = not end
-            if not end and tag in ("article", "main") or end and tag in ("body", "html"):
-                for stack in opened.values():
-                    while stack:
-                        close(*stack.pop())
-            if not end and tag in CONTAINERS:
-                opened[tag].append((m.end(), words, linked))
-            elif end and opened[tag]:
-                close(*opened[tag].pop())
-    for stack in opened.values():
-        for x in stack:
-            close(*x)
-    return out
-
-
-def events(page: str) -> Iterator[tuple[str, str, str]]:
-    """kind (tag, end, chrome, word, link, mark), name and text of each event; names of tags within an article end with @."""
-    at, size, article, links = 0, len(page), 0, 0
-    of_links: dict[int, bool] | None = None
-
-    def mostly_links() -> bool:
-        nonlocal of_links
-        of_links = _of_links(page) if of_links is None else of_links
-        return of_links.get(at, False)
-
+                if told or told is None and mostly_links:
+                    return "class"
+        elif key == "role" and value in ROLES:
+            return "role"
+        elif key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+            return "hidden"
+    return ""
+
+
+@dataclass
+class _Token:
+    """A piece of a page: text (name empty), a start tag or an end tag, or a mark of a labelled page."""
+
+    name: str = ""
+    end: bool = False
+    attrs: str = ""
+    text: str = ""
+    #: Index of the token that closes a start tag's element.
+    close: int = 0
+    #: Words, and words of links, before it.
+    words: int = 0
+    linked: int = 0
+
+
+def _tokens(page: str) -> list[_Token]:
+    """The page's tokens without comments, scripts, styles and the like."""
+    out: list[_Token] = []
+    at, size = 0, len(page)
     while at < size:
         m = _TOKEN.match(page, at)
         at = m.end()
-        name = m["name"] or m["name2"]
-        if name is None:
+        name = (m["name"] or m["name2"] or "").lower()
+        if not name:
             piece = m[0]
-            if piece.startswith("<!--"):
-                yield "mark", piece, ""
+            if piece in ("<!--[-->", "<!--]-->"):
+                out.append(_Token("!", text=piece))
             elif piece.startswith("<![CDATA["):
-                yield "link" if links and not article else "word", "", piece[9:].removesuffix("]]>")
-            elif not (piece.startswith("<") and piece[1:2] in ("!", "?")):
-                yield "link" if links and not article else "word", "", html.unescape(piece)
+                out.append(_Token(text=piece[9:].removesuffix("]]>")))
+            elif not piece.startswith(("<!", "<?")):
+                out.append(_Token(text=html.unescape(piece)))
             continue
-        name, end, attrs = name.lower(), m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
-        if end:
-            article -= name in ("article", "main") and article > 0
-            links -= name == "a" and links > 0
-            yield "end", name + "@" * (article > 0), ""
-        elif name in RAW:
-            if not attrs.endswith("/") or name not in ("svg", "math"):
+        end, attrs = bool(m["end"] or m["end2"]), m["attrs"] or m["attrs2"] or ""
+        if name in RAW:
+            if not end and (not attrs.endswith("/") or name not in ("svg", "math")):
                 close = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(page, at)
                 at = page.find(">", close.start()) + 1 or size if close else size
-        elif name not in VOID and _is_chrome(name, attrs, article > 0, mostly_links):
-            yield "chrome", name + "@" * (article > 0), ""
-            at = _skip(page, at, name)
         else:
-            article += name in ("article", "main")
-            links += name == "a"
-            yield "tag", name + "@" * (article > 0), ""
+            out.append(_Token(name, end, attrs))
+    return out
+
+
+def _close(tokens: list[_Token]) -> None:
+    """Finds where elements end, and counts words. One pass, however deep they nest."""
+    opened: dict[str, list[int]] = defaultdict(list)
+    unclosed: list[int] = []
+    words = linked = in_link = 0
+    mains: list[int] = []
+    for i, t in enumerate(tokens):
+        t.words, t.linked, t.close = words, linked, -1
+        if not t.name:
+            count = len(t.text.split())
+            words, linked = words + count, linked + (count if in_link else 0)
+        elif t.name == "!" or t.name in VOID:
+            continue
+        elif t.end:
+            in_link -= t.name == "a" and in_link > 0
+            if opened[t.name]:
+                tokens[opened[t.name].pop()].close = i
+        else:
+            for name, ends in ENDS.items():
+                if t.name in ends and opened[name]:
+                    tokens[opened[name].pop()].close = i
+            if t.name in ("article", "main"):
+                mains.append(i)
+            in_link = in_link + 1 if t.name == "a" and not in_link else in_link
+            opened[t.name].append(i)
+    for left in opened.values():
+        unclosed += left
+    for i in unclosed:
+        after = bisect.bisect_right(mains, i)
+        tokens[i].close = mains[after] if after < len(mains) else len(tokens)
+    tokens.append(_Token(words=words, linked=linked, close=len(tokens)))
+
+
+def _mostly_links(tokens: list[_Token], i: int) -> bool:
+    last = tokens[tokens[i].close]
+    words = last.words - tokens[i].words
+    return words > 0 and 2 * (last.linked - tokens[i].linked) >= words
+
+
+def _mains(tokens: list[_Token]) -> list[int]:
+    """The outermost article and main elements."""
+    out, until = [], 0
+    for i, t in enumerate(tokens[:-1]):
+        if i >= until and t.name in ("article", "main") and not t.end:
+            out.append(i)
+            until = t.close
+    return out
+
+
+def _end(tokens: list[_Token], mains: list[int], i: int) -> int:
+    """Where the told element that opens at token ``i`` ends: before the page's only article, if that holds most of its words."""
+    close = tokens[i].close
+    within = [m for m in mains[bisect.bisect_right(mains, i) :] if m < close]
+    if len(within) == len(mains) == 1 and 2 * (tokens[tokens[within[0]].close].words - tokens[within[0]].words) > tokens[-1].words:
+        return within[0]
+    return close
+
+
+def events(page: str) -> Iterator[tuple[str, str, str]]:
+    """kind (word, link, told, tag, mark), name and text of each event.
+
+    Names of tags within an article end with @, elsewhere those of elements whose words are mostly links with ~.
+
+    Words of an element that something tells are ``told``, by what; its tags are no events but where blocks begin (``block``).
+    """
+    tokens = _tokens(page)
+    _close(tokens)
+    mains = _mains(tokens)
+    article, links, until, by, opener = 0, 0, 0, "", ""
+    linked: set[int] = set()
+    for i, t in enumerate(tokens[:-1]):
+        if i >= until and by:
+            by = ""
+            yield "told", "", ""  # it ends here
+            if t.end and t.name == opener:
+                yield "block", t.name, ""
+                continue
+        if t.name == "!":
+            yield "mark", t.text, ""
+        elif by:
+            if not t.name:
+                yield "told", by, t.text
+            elif t.name in BLOCK or t.name == "br":
+                yield "block", t.name, ""
+        elif not t.name:
+            yield "link" if links and not article else "word", "", t.text
+        elif t.end:
+            article -= t.name in ("article", "main") and article > 0
+            links -= t.name == "a" and links > 0
+            yield "tag", t.name + ("@" if article else "~" * (i in linked)), ""
+        else:
+            if t.name not in VOID and (by := _tells(t.name, t.attrs, article > 0, "=" in t.attrs and t.name in CONTAINERS and _mostly_links(tokens, i))):
+                until, opener = _end(tokens, mains, i), t.name
+                by += "@" * (article > 0)
+                yield "block", t.name, ""
+                continue
+            article += t.name in ("article", "main")
+            links += t.name == "a"
+            mostly = not article and t.name not in VOID and t.name != "a" and _mostly_links(tokens, i)
+            if mostly:
+                linked.add(t.close)
+            yield "tag", t.name + ("@" if article else "~" * mostly), ""
+
+
+@dataclass(frozen=True)
+class Weights:
+    """Of a word of each kind, and of tags."""
+
+    words: dict[str, float]
+    tags: dict[str, float]
 
 
 @functools.lru_cache(maxsize=1)
-def weights() -> tuple[float, float, dict[str, float]]:
-    """Of a word, a word of a link and tags, from the labelled pages."""
+def weights() -> Weights:
+    """What the labelled pages make events worth."""
     inside, outside = Counter(), Counter()
     for page in LABELLED:
         counts = outside
         for kind, name, text in events(page):
             if kind == "mark":
                 counts = inside if name == "<!--[-->" else outside
-            elif kind in ("word", "link"):
-                counts[kind] += len(text.split())
-            else:
+            elif kind == "tag":
                 counts[name] += 1
+            elif kind != "block":
+                counts["told" if kind == "told" else kind, ""] += len(text.split())
 
-    def share(key: str) -> float:
+    def share(key: object) -> float:
         return (inside[key] + 0.5) / (inside[key] + outside[key] + 1)
 
-    tags = {t: -max(0.02, 4 * (1 - share(t)) ** 2) for t in {*inside, *outside} - {"word", "link"}}
-    return share("word"), 2 * share("link") - 1, tags
+    tags = {t: -max(0.02, 4 * (1 - share(t)) ** 2) for t in {*inside, *outside} if isinstance(t, str)}
+    return Weights({kind: 2 * share((kind, "")) - 1 for kind in ("word", "link", "told")}, tags)
 
 
-def main_text(page: str | None) -> str:
-    word, link, tags = weights()
-    blocks: list[list[str]] = [[]]
-    total = best = 0.0
-    first = 0  # block in which the current run began
-    region: tuple[int, int] | None = None
-    for kind, name, text in events(page or ""):
-        if kind == "mark":
-            continue
+#: Words that an element's name, role, class or id tells cost at most so many words, within an article and elsewhere.
+BRIDGE_WITHIN, BRIDGE = 0.1, 10.0
+#: Links in one block, their words and tags, cost at most so many words.
+LINKED = 4.0
+
+
+def best_run(scores: Sequence[float]) -> tuple[int, int] | None:
+    """First and last place of the contiguous run of the highest sum, the first and shortest of equal ones; None if no sum is above 0."""
+    best, run, total, first = 0.0, None, 0.0, 0
+    for i, score in enumerate(scores):
+        if total <= 0:
+            total, first = 0.0, i
+        total += score
+        if total > best:
+            best, run = total, (first, i)
+    return run
+
+
+@dataclass
+class Pieces:
+    """The events of a page that the scan is over: their scores, and the block, text and kind of each."""
+
+    scores: list[float] = field(default_factory=list)
+    blocks: list[int] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)
+    told: list[bool] = field(default_factory=list)
+
+    def add(self, score: float, block: int, text: str = "", told: bool = False) -> None:
+        self.scores.append(score)
+        self.blocks.append(block)
+        self.texts.append(text)
+        self.told.append(told)
+
+
+def pieces(page: str) -> Pieces:
+    known, out = weights(), Pieces()
+    block, filled, linked, spent = 0, False, 0.0, 0.0
+    for kind, name, text in events(page):
         if kind in ("word", "link"):
-            blocks[-1].append(text)
-            if count := len(text.split()):
-                if total <= 0:
-                    total, first = 0.0, len(blocks) - 1
-                total += count * (word if kind == "word" else link)
-                if total > best:
-                    best, region = total, (first, len(blocks) - 1)
-            continue
-        total = max(0.0, total + tags.get(name, -0.1 if name[-1] == "@" else -0.5))
-        name = name.rstrip("@")
-        if name in BLOCK:
-            if blocks[-1]:
-                blocks.append([])
-        elif name == "br":
-            blocks[-1].append(" ")
-    if region is None:
+            count = len(text.split())
+            score = count * known.words[kind]
+            if kind == "link":
+                score = max(score, -LINKED - linked)
+                linked += score
+            out.add(score, block, text)
+            filled = True
+        elif kind == "told":
+            if not name:
+                spent = 0.0
+                continue
+            most = BRIDGE_WITHIN if name[-1] == "@" else BRIDGE
+            score = max(len(text.split()) * known.words["told"], -most - spent)
+            spent += score
+            out.add(score, block, text, True)
+            filled = True
+        elif kind in ("tag", "block"):
+            if kind == "tag":
+                score = known.tags.get(name, -0.1 if name[-1] == "@" else -0.5)
+                if name == "a":
+                    score = max(score, -LINKED - linked)
+                    linked += score
+                out.add(score, block)
+                name = name.rstrip("@~")
+            if name in BLOCK:
+                block, filled, linked = block + filled, False, 0.0 if filled else linked
+            elif name == "br":
+                out.add(0.0, block, " ")
+    return out
+
+
+def text_of(found: Pieces, run: tuple[int, int] | None) -> str:
+    """The blocks that a run touches, without the told words that stand between words that gain."""
+    if run is None:
         return ""
-    texts = (" ".join("".join(b).split()) for b in blocks[region[0] : region[1] + 1])
+    first, last = found.blocks[run[0]], found.blocks[run[1]]
+    chosen = range(bisect.bisect_left(found.blocks, first), bisect.bisect_right(found.blocks, last))
+    gains = [i for i in chosen if found.scores[i] > 0]
+    blocks: dict[int, list[str]] = {}
+    for i in chosen:
+        if found.told[i] and gains and gains[0] < i < gains[-1]:
+            continue
+        blocks.setdefault(found.blocks[i], []).append(found.texts[i])
+    texts = (" ".join("".join(b).split()) for b in blocks.values())
     return "\n".join(t for t in texts if t)
 
 
+def main_text(page: str | None) -> str:
+    found = pieces(page or "")
+    return text_of(found, best_run(found.scores))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page; one narrow pass without shuffle."""
 

@@ -23,6 +23,8 @@ each (doc_id, line number) that comes first stays. Further columns are left behi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,6 @@ from tessera.llm.common import cut, flagged, texts_of, used_up
 
 #: Units that the longer of two lines has at least if they are one edit apart.
 UNITS = 5
-HALVES = ("a", "b", "c", "d")
 
 
 def _words(line: Column) -> Column:
@@ -42,32 +43,26 @@ def _words(line: Column) -> Column:
     return F.filter(pieces, lambda w: w != "")
 
 
-def _half(units: Column, length: Column, tail: bool) -> Column:
-    start = F.size(units) - length + 1 if tail else F.lit(1)
-    return F.xxhash64(F.lit(tail), length, F.slice(units, start, length))
-
-
 def _characters(words: Column) -> Column:
     return F.split(F.array_join(words, " "), "", -1)
 
 
-def _halves(units: Column, *kind: Column) -> list[Column]:
-    """The halves a to d that a line has in common with a match of its length or of one unit more or less."""
-    n = F.size(units)
-    long, short = F.floor(n / 2).cast("int"), F.greatest(F.floor((n - 1) / 2), F.lit(0)).cast("int")
-    return [F.xxhash64(*kind, _half(units, k, tail)) if kind else _half(units, k, tail) for k in (long, short) for tail in (False, True)]
+def _halves(n: Column, part: Callable[[Column, Column], Column], *kind: Column) -> Column:
+    """Hashes of what a line of n units has in common with a match of its length or of one unit more or less; ``part`` (first, length) cuts it."""
+    lengths = F.floor(n / 2).cast("int"), F.greatest(F.floor((n - 1) / 2), F.lit(0)).cast("int")
+    return F.array_distinct(F.array(*[F.xxhash64(*kind, F.lit(tail), k, part(n - k + 1 if tail else F.lit(1), k)) for k in lengths for tail in (False, True)]))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, line_no from 0, number of words n, two hashes that identify the line, and arrays of halves, by words and by characters."""
     rows = texts_of(docs).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     rows = rows.select("doc_id", "line_no", _words(F.col("line")).alias("words"))
-    words, n = F.col("words"), F.size("words")
-    chars = F.when((n > 0) & (n < UNITS), _characters(words))
+    words, few, n = F.col("words"), F.col("few"), F.size("words")
+    rows = rows.select("doc_id", "line_no", "words", F.when((n > 0) & (n < UNITS), F.array_join(words, " ")).alias("few"))
     return rows.select(
         "doc_id", "line_no", n.alias("n"), F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words", n).alias("g"),
-        F.when(n >= UNITS - 1, F.array_distinct(F.array(*_halves(words)))).alias("by_words"),
-        F.when(F.size(chars) >= UNITS - 1, F.array_distinct(F.array(*_halves(chars, F.lit("c"))))).alias("by_chars"),
+        F.when(n >= UNITS - 1, _halves(n, lambda first, k: F.slice(words, first, k))).alias("by_words"),
+        F.when(F.length(few) >= UNITS - 1, _halves(F.length(few), lambda first, k: F.substring(few, first, k), F.lit("c"))).alias("by_chars"),
     )
 
 
@@ -166,3 +161,21 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         keep["doc_id"].alias("keep_doc_id"),
         keep["line_no"].alias("keep_line_no"),
     )
+
+
+ORACLE = r"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM t),
+w AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^\x20\x09\x0B-\x0D]+') AS w FROM l),
+d AS (SELECT array_to_string(w, ' ') AS k, any_value(w) AS w, min({'d': doc_id, 'l': line_no}) AS at FROM w WHERE len(w) > 0 GROUP BY 1),
+u AS (SELECT at, 'w' AS unit, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, w, k FROM d WHERE len(w) >= 4
+  UNION ALL SELECT at, 'c', length(k), unnest(range(1, length(k) + 1)), w, k FROM d WHERE len(w) < 5 AND length(k) >= 4),
+v AS (SELECT at, unit, n, i, k, CASE WHEN unit = 'w' THEN array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ')
+  ELSE substring(k, 1, i - 1) || substring(k, i + 1) END AS key FROM u),
+hubs AS (SELECT unit, n, i, key, min(at) AS hub FROM v WHERE n >= 5 GROUP BY ALL),
+m AS (SELECT v.at, hubs.hub FROM v JOIN hubs USING (unit, n, i, key) WHERE hubs.hub < v.at
+  UNION ALL SELECT greatest(a.at, b.at), least(a.at, b.at) FROM v a JOIN (SELECT DISTINCT at, unit, n, k FROM v) b ON a.unit = b.unit AND a.n = b.n + 1 AND a.key = b.k WHERE a.n >= 5),
+near AS (SELECT at, min(hub) AS hub FROM m GROUP BY at),
+keep AS (SELECT d.k, coalesce(near.hub, d.at) AS keep FROM d LEFT JOIN near ON near.at = d.at),
+o AS (SELECT w.doc_id, CAST(w.line_no AS INTEGER) AS line_no, coalesce(keep.keep.d, w.doc_id) AS keep_doc_id, CAST(coalesce(keep.keep.l, w.line_no) AS INTEGER) AS keep_line_no
+  FROM w LEFT JOIN keep ON keep.k = array_to_string(w.w, ' '))
+SELECT doc_id, line_no, doc_id = keep_doc_id AND line_no = keep_line_no AS kept, keep_doc_id, keep_line_no FROM o"""

@@ -70,4 +70,9 @@ _ALL = (
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": exact_dedup.ORACLE,
+    "op5_chat_formatting": chat.ORACLE,
+    "op6_minhash_dedup": near_dedup.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
+}
