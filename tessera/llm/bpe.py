@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import python_pass, slices, texts_of
 
 #: Pre-tokens that a worker remembers; beyond it, it forgets all but the vocabulary.
-CACHED = 150_000
+CACHED = 100_000
 #: Longer pre-tokens are encoded anew each time.
 CACHED_CHARS = 48
 
@@ -37,6 +37,7 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+@functools.lru_cache(maxsize=2)
 def load_ranks(path: str) -> list[bytes]:
     """The tokens of a rank file in order of rank."""
     with open(path, "rb") as lines:
@@ -112,8 +113,9 @@ class Codec:
                 del known[p]
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+def decode_ids(tokens: list[bytes], ids: bytes) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @functools.lru_cache(maxsize=2)
@@ -140,13 +142,13 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return python_pass(texts_of(docs), run, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ``ids`` and ``decoded``, the bytes that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = codec(path, pattern).decode
+        tokens = load_ranks(path)  # a worker of its own, which needs no model
         for batch in slices(batches, 256):
-            texts = [decoder(x or b"") for x in batch.column(1).to_pylist()]
+            texts = [decode_ids(tokens, x or b"") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return python_pass(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary")
@@ -154,7 +156,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Token counts and digests of the ids and of the bytes they decode to."""
-    return decode(encode(docs, path, pattern), path, pattern).select(
+    return decode(encode(docs, path, pattern), path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -10,8 +10,9 @@ otherwise, and sets the number of bands and of minima (``Threshold``).
 2. Bands of five minima, 30 at 85 per cent and 45 at 80, deal the classes out into buckets; linked ones share fewer than two with a
    probability under one in a million. Each member of a bucket is paired with the bucket's smallest id: as many pairs as members.
 3. Pairs whose minima agree too rarely (five standard deviations below the threshold) go; the others are confirmed on full sets.
-4. Components of the confirmed links. Buckets that still hold several components are open. A large one, of more than BLOCK members,
-   is split by each further band into the buckets of those that share that band too, as linked ones do.
+4. Components of the confirmed links. Buckets that still hold several components are open. One with so much beside its largest
+   component that blocks would copy each member more often than there are bands is split by each further band into the buckets of
+   those that share that band too, as linked ones do.
 5. What is left open is compared in blocks of bounded size: whatever isn't in the bucket's largest component, against all its
    other members but those of its own component, first by minima. Texts go only to blocks, and only of members, that have a
    partner whose minima agree; there full sets decide. So any two members of one bucket are in one component or have been
@@ -311,9 +312,9 @@ def _late_links(members: DataFrame, reps: DataFrame, docs: DataFrame, at: Thresh
     """The links (u, v) that the buckets (band, key, doc_id, component) still hide."""
     whole = members.withColumn("also", F.lit(-1)).join(reps.select("doc_id", "n_shingles"), "doc_id")
     opened = cut(_open(whole))
-    large = opened.filter(F.col("n_all") > BLOCK)
-    halves = _open(_split(large.select("band", "key", "doc_id", "component", "n_shingles").join(reps.select("doc_id", "minima"), "doc_id"), at.bands))
-    blocks = _blocks(opened.filter(F.col("n_all") <= BLOCK).unionByName(halves))
+    large = F.col("n_all") - F.col("n_top") > BLOCK * at.bands
+    several = opened.filter(large).select("band", "key", "doc_id", "component", "n_shingles").join(reps.select("doc_id", "minima"), "doc_id")
+    blocks = _blocks(opened.filter(~large).unionByName(_open(_split(several, at.bands))))
     dealt = blocks.join(reps.select("doc_id", "minima"), "doc_id").repartition("block").sortWithinPartitions("block")
     kinds = "block long, band int, also int, doc_id long, component long"
     suspects = cut(python_pass(dealt.select("block", "band", "also", "doc_id", "component", "minima"), functools.partial(_suspects, at=at), kinds))
