@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, decontamination, exact_dedup, near_dedup, toxicity
-from tessera.llm.common import cut
+from tessera.llm.common import cut, used_up
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written to the shared checkpoint folder for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what each keeps is written to the shared checkpoint folder for the next, and deleted after it."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        used_up(*last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import time
 
+from tessera.micro import MICRO, line
 from tessera.plans.registry import REGISTRY
 from tessera.plans.sql import run_sql
 from tessera.session import build_session
@@ -45,6 +46,9 @@ def main(args: list[str]) -> int:
         rows = REGISTRY[name][0](spark, folder)
         rows.show(15, truncate=False)
         print(f"{name}: {1000 * (time.perf_counter() - began):.1f} ms")
+    for group in MICRO if query == "all" else {query} & MICRO.keys():
+        for metrics in MICRO[group](spark, folder):
+            print(line(metrics))
     return 0
 
 

@@ -85,3 +85,8 @@ def year_of(name: str) -> Column:
 
 def day(text: str) -> Column:
     return F.lit(text).cast("date")
+
+
+def days_before(text: str, days: int) -> Column:
+    """A date less an interval; Catalyst folds it to a literal, so it reaches the scan."""
+    return F.date_sub(day(text), days)

@@ -17,10 +17,9 @@ def semi_count(probe: DataFrame, probe_key: str, build: DataFrame, build_key: st
 
 
 def inner_count(probe: DataFrame, probe_key: str, build: DataFrame, build_key: str) -> DataFrame:
-    """Joined pairs, counted from per-key counts: a hot key multiplies two numbers, not its rows."""
-    left = keyed(probe, k=probe_key).filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("a"))
-    right = keyed(build, k=build_key).filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("b"))
-    return left.join(right, "k").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).cast("bigint").alias("n"))
+    """Joined pairs: each build row adds the probe rows of its key, which are counted before the join, so a hot key expands no rows."""
+    counted = keyed(probe, k=probe_key).filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("a"))
+    return keyed(build, k=build_key).join(counted, "k").agg(F.coalesce(F.sum("a"), F.lit(0)).cast("bigint").alias("n"))
 
 
 def outer_match_counts(rows: DataFrame, key: str, other: DataFrame, other_key: str, value: str, name: str) -> DataFrame:

@@ -11,29 +11,31 @@ from tessera.functions import exprs as X
 from tessera.operators import aggregation, joins, selection
 from tessera.plans import tpch
 from tessera.plans.sql import run_sql
-from tessera.sources.tables import table
+from tessera.sources.tables import has_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-NAMES = ("nation", "customer", "supplier", "part", "orders", "lineitem")
 Q6_DATA = tpch.Q6(start="1996-01-01", end="1997-01-01")
 Q9_DATA = tpch.Q9(token="red")
 
 
-class _Lazy(dict):
-    """Tables that are opened when a plan first asks for them."""
+class Dataset(dict):
+    """The tables of a folder, opened when a plan first asks for them; ``in`` tells whether the folder has one."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
-        self._open = lambda name: table(spark, sf_dir, name)
+        self._spark, self._folder = spark, sf_dir
 
     def __missing__(self, name: str) -> DataFrame:
-        self[name] = self._open(name)
+        self[name] = table(self._spark, self._folder, name)
         return self[name]
 
+    def __contains__(self, name: object) -> bool:
+        return super().__contains__(name) or has_table(self._spark, self._folder, str(name))
+
 
 def _plan(build: Callable, *args) -> Query:
-    return lambda spark, sf_dir: build(_Lazy(spark, sf_dir), *args)
+    return lambda spark, sf_dir: build(Dataset(spark, sf_dir), *args)
 
 
 def _count_below(bound: int) -> Query:
@@ -101,13 +103,13 @@ FROM lineitem CROSS JOIN (SELECT 100 AS v UNION ALL SELECT 500 UNION ALL SELECT
         f"""SELECT l_returnflag, l_linestatus, SUM(l_quantity) AS sum_qty, CAST(SUM({_P}) AS DOUBLE) AS sum_base_price,
 CAST(SUM({_P}*(1-{_D})) AS DOUBLE) AS sum_disc_price, CAST(SUM({_P}*(1-{_D})*(1+{_X})) AS DOUBLE) AS sum_charge,
 ROUND(AVG(l_quantity),6) AS avg_qty, ROUND(AVG(l_extendedprice),6) AS avg_price, ROUND(AVG(l_discount),6) AS avg_disc, COUNT(*) AS count_order
-FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus""",
+FROM lineitem WHERE l_shipdate <= DATE '1998-12-01' - INTERVAL '90' DAY GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
     ),
     "q1_cent_rounded": (
         _plan(tpch.q1_cent_rounded),
         f"""SELECT l_returnflag, l_linestatus, CAST(SUM(dp) AS DOUBLE) AS sum_disc_price, CAST(SUM(ROUND(dp*(1+x),2)) AS DOUBLE) AS sum_charge
 FROM (SELECT l_returnflag, l_linestatus, ROUND({_P}*(1-{_D}),2) AS dp, {_X} AS x FROM lineitem WHERE l_shipdate <= DATE '1998-09-02') t
-GROUP BY l_returnflag, l_linestatus""",
+GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
     ),
     "q3": (_plan(tpch.q3), f"{_Q3} ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10"),
     "q3_group_count": (_plan(tpch.q3_group_count), f"SELECT COUNT(*) AS n FROM ({_Q3}) t"),
@@ -115,17 +117,17 @@ GROUP BY l_returnflag, l_linestatus""",
     "q6_reference_window": (_plan(tpch.q6), _q6_sql("1994-01-01", "1995-01-01")),
     "q9": (
         _plan(tpch.q9, Q9_DATA),
-        f"SELECT nation, o_year, CAST(ROUND(profit, 2) AS DOUBLE) AS sum_profit FROM ({_Q9}) t",
+        f"SELECT nation, o_year, CAST(ROUND(profit, 2) AS DOUBLE) AS sum_profit FROM ({_Q9}) t ORDER BY nation, o_year DESC",
     ),
     "q9_yearly": (
         _plan(tpch.q9_yearly, Q9_DATA),
-        f"SELECT o_year, CAST(ROUND(SUM(profit), 2) AS DOUBLE) AS sum_profit FROM ({_Q9}) t GROUP BY o_year",
+        f"SELECT o_year, CAST(ROUND(SUM(profit), 2) AS DOUBLE) AS sum_profit FROM ({_Q9}) t GROUP BY o_year ORDER BY o_year",
     ),
     "part_name_contains_count": (
         _plan(lambda t: t["part"].filter(X.contains("p_name", "red")).agg(F.count("*").alias("n"))),
         "SELECT COUNT(*) AS n FROM part WHERE p_name LIKE '%red%'",
     ),
-    "q13": (_plan(tpch.q13), f"SELECT c_count, COUNT(*) AS custdist FROM ({_Q13}) c GROUP BY c_count"),
+    "q13": (_plan(tpch.q13), f"SELECT c_count, COUNT(*) AS custdist FROM ({_Q13}) c GROUP BY c_count ORDER BY custdist DESC, c_count DESC"),
     "q3_sql": _as_sql(f"{_Q3} ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10"),
     "q6_sql": _as_sql(_q6_sql(Q6_DATA.start, Q6_DATA.end)),
     "q9_sql": _as_sql(f"SELECT nation, o_year, CAST(ROUND(profit, 2) AS DOUBLE) AS sum_profit FROM ({_Q9}) t ORDER BY nation, o_year DESC"),

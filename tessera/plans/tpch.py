@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
@@ -16,7 +16,8 @@ Tables = dict[str, DataFrame]
 
 @dataclass(frozen=True)
 class Q1:
-    cutoff: str = "1998-09-02"
+    end: str = "1998-12-01"
+    days: int = 90
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ class Q13:
 
 def q1(t: Tables, p: Q1 = Q1()) -> DataFrame:
     """Pricing summary by return flag and line status, ordered by both."""
-    rows = t["lineitem"].filter(F.col("l_shipdate") <= X.day(p.cutoff))
+    rows = t["lineitem"].filter(F.col("l_shipdate") <= X.days_before(p.end, p.days))
     return (
         rows.groupBy("l_returnflag", "l_linestatus")
         .agg(
@@ -67,7 +68,7 @@ def q1(t: Tables, p: Q1 = Q1()) -> DataFrame:
 
 def q1_cent_rounded(t: Tables, p: Q1 = Q1()) -> DataFrame:
     """Discounted price and charge with every row rounded half up to cents before it is summed."""
-    rows = t["lineitem"].filter(F.col("l_shipdate") <= X.day(p.cutoff))
+    rows = t["lineitem"].filter(F.col("l_shipdate") <= X.days_before(p.end, p.days))
     net = X.cents(X.disc_price())
     gross = X.cents(net * (F.lit(1) + X.rate("l_tax")))
     return (
@@ -117,12 +118,17 @@ def q6(t: Tables, p: Q6 = Q6()) -> DataFrame:
     return rows.agg(X.as_double(F.round(X.exact_sum(X.revenue_units(), 4), 2)).alias("revenue"))
 
 
-def derived_partsupp(lineitem: DataFrame) -> DataFrame:
-    """A supply cost for every (part, supplier) pair in use, where the dataset has no such table."""
-    cost = (F.lit(1) + (F.col("l_partkey") * 31 + F.col("l_suppkey") * 17) % 99900 / F.lit(100.0)).cast("decimal(15,2)")
-    return lineitem.groupBy("l_partkey", "l_suppkey").agg(F.lit(0).alias("_g")).select(
-        F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey"), cost.alias("ps_supplycost")
-    )
+def derived_cost() -> Column:
+    """A supply cost that depends on part and supplier alone, where the dataset has no table of them."""
+    return (F.lit(1) + (F.col("l_partkey") * 31 + F.col("l_suppkey") * 17) % 99900 / F.lit(100.0)).cast("decimal(15,2)")
+
+
+def with_cost(t: Tables, lines: DataFrame) -> DataFrame:
+    """The lines that have a supply cost, by part and supplier, with it."""
+    if "partsupp" not in t:
+        return lines.withColumn("ps_supplycost", derived_cost())
+    costs = t["partsupp"].select(F.col("ps_partkey").alias("l_partkey"), F.col("ps_suppkey").alias("l_suppkey"), "ps_supplycost")
+    return lines.join(costs, ["l_partkey", "l_suppkey"])
 
 
 def q9_by_nation_year(t: Tables, p: Q9 = Q9()) -> DataFrame:
@@ -130,8 +136,6 @@ def q9_by_nation_year(t: Tables, p: Q9 = Q9()) -> DataFrame:
     parts = t["part"].filter(X.contains("p_name", p.token)).select(F.col("p_partkey").alias("l_partkey"))
     lines = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
     lines = lines.join(parts, "l_partkey", "left_semi")
-    costs = t["partsupp"] if "partsupp" in t else derived_partsupp(lines)
-    costs = costs.select(F.col("ps_partkey").alias("l_partkey"), F.col("ps_suppkey").alias("l_suppkey"), "ps_supplycost")
     places = (
         t["supplier"]
         .join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey"))
@@ -139,7 +143,7 @@ def q9_by_nation_year(t: Tables, p: Q9 = Q9()) -> DataFrame:
     )
     years = t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), X.year_of("o_orderdate").alias("o_year"))
     return (
-        lines.join(costs, ["l_partkey", "l_suppkey"])
+        with_cost(t, lines)
         .join(places, "l_suppkey")
         .join(years, "l_orderkey")
         .groupBy("nation", "o_year")

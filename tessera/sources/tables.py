@@ -9,28 +9,38 @@ from pyspark.sql import types as T
 from tessera.schemas import TABLES
 
 
-#: path -> state of the path and schema found then
-_SCHEMAS: dict[str, tuple[tuple[int, int], T.StructType]] = {}
+#: path -> files of the path and schema found then
+_SCHEMAS: dict[str, tuple[tuple, T.StructType]] = {}
 
 
-def _state(spark: SparkSession, path: str) -> tuple[int, int] | None:
-    """Time of change and length of a path; None for patterns and where the store keeps no time."""
+def _found(spark: SparkSession, path: str) -> tuple | None:
+    """Name, time of change and length of a path's files, or None without any."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
-    if found is None or len(found) != 1:
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    matches = system.globStatus(where)
+    if not matches:
         return None
-    return (found[0].getModificationTime(), found[0].getLen()) if found[0].getModificationTime() > 0 else None
+    files = [f for m in matches for f in (system.listStatus(m.getPath()) if m.isDirectory() else [m])]
+    return tuple(sorted((f.getPath().toString(), f.getModificationTime(), -1 if f.isDirectory() else f.getLen()) for f in files))
+
+
+def has_table(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    return _found(spark, f"{sf_dir}/{name}.parquet") is not None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of a dataset folder. Its schema is read again only when the path has changed."""
+    """The Parquet table ``name`` of a dataset folder. Its schema is read again only when a file of it has changed.
+
+    Where the store keeps no times, and of tables with folders in them, it is read each time.
+    """
     path = f"{sf_dir}/{name}.parquet"
-    state = _state(spark, path)
-    if state and path in _SCHEMAS and _SCHEMAS[path][0] == state:
+    files = _found(spark, path)
+    known = files and all(time > 0 and size >= 0 for _, time, size in files)
+    if known and path in _SCHEMAS and _SCHEMAS[path][0] == files:
         return spark.read.schema(_SCHEMAS[path][1]).parquet(path)
     rows = spark.read.parquet(path)
-    if state:
-        _SCHEMAS[path] = (state, rows.schema)
+    if known:
+        _SCHEMAS[path] = (files, rows.schema)
     return rows
 
 
@@ -72,6 +82,33 @@ def convert_to_parquet(spark: SparkSession, folder: str, out: str, names: tuple[
         frame.write.mode("overwrite").parquet(f"{out}/{name}.parquet")
 
 
+def load_checked(spark: SparkSession, folder: str, out: str, expected: dict[str, int], names: tuple[str, ...] = tuple(TABLES)) -> dict[str, int]:
+    """Row counts after a bulk load: tables that are missing from ``out`` or not of the expected size are loaded again, the others left.
+
+    Raises if a table still isn't of its expected size then.
+    """
+    for name in names:
+        rows = table(spark, out, name).count() if has_table(spark, out, name) else -1
+        if rows < 0 or rows != expected.get(name, rows):
+            convert_to_parquet(spark, folder, out, (name,))
+    return validate_dataset(spark, out, names, expected)
+
+
+def verify_delimited(spark: SparkSession, folder: str, names: tuple[str, ...] = tuple(TABLES)) -> dict[str, tuple[int, int]]:
+    """Bytes and lines of all named ``.tbl`` files; raises if one is missing or empty. Nothing is parsed."""
+    out, missing = {}, []
+    for name in names:
+        files = _found(spark, f"{folder}/{name}.tbl")
+        size = sum(max(0, f[2]) for f in files or ())
+        if not size:
+            missing.append(name)
+        else:
+            out[name] = (size, spark.read.text(f"{folder}/{name}.tbl").count())
+    if missing:
+        raise ValueError(f"missing or empty: {', '.join(missing)}")
+    return out
+
+
 def validate_dataset(spark: SparkSession, sf_dir: str, names: tuple[str, ...], expected: dict[str, int] | None = None) -> dict[str, int]:
     """Row counts of all named tables; raises if one is missing, empty or not of the expected size."""
     counts = {name: table(spark, sf_dir, name).count() for name in names}

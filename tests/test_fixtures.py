@@ -1,17 +1,21 @@
 """Hand-computed fixtures over small delimited files, and the command line."""
 
 import datetime as dt
-import time
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
-from tessera import cli
+from tessera import cli, micro
 from tessera.functions import exprs as X
 from tessera.operators import joins, selection
 from tessera.plans import tpch
 from tessera.report import report
 from tessera.schemas import TABLES
-from tessera.sources.tables import convert_to_parquet, read_delimited, table, validate_dataset
+from tessera.plans.registry import REGISTRY
+from tessera.results import compare, write_logs
+from tessera.sources.tables import convert_to_parquet, load_checked, read_delimited, table, validate_dataset, verify_delimited
 from tessera.streaming.grouped import running_pricing_summary, stream_table
 
 FILL = {"int": "0", "string": "x", "date": "1995-01-01", "decimal(15,2)": "0.00"}
@@ -51,6 +55,20 @@ def test_q9(spark, tmp_path):
     assert [tuple(r) for r in tpch.q9_yearly(t).collect()] == [(1995, 63.0), (1996, 40.0)]
 
 
+def test_q9_takes_the_costs_of_a_folder_that_has_them(spark, tmp_path):
+    source = "/root/testdata/sf0.001"
+    for name in ("part", "supplier", "nation", "orders", "lineitem"):
+        os.symlink(f"{source}/{name}.parquet", f"{tmp_path}/{name}.parquet")
+    without = {tuple(r)[:2]: r.sum_profit for r in REGISTRY["q9"][0](spark, str(tmp_path)).collect()}
+    lines = spark.read.parquet(f"{source}/lineitem.parquet")
+    lines.select(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey"), F.lit(0).cast("decimal(15,2)").alias("ps_supplycost")).distinct().write.parquet(f"{tmp_path}/partsupp.parquet")
+    free = {tuple(r)[:2]: r.sum_profit for r in REGISTRY["q9"][0](spark, str(tmp_path)).collect()}
+    assert free.keys() == without.keys() and all(free[k] > without[k] for k in free)
+    spark.read.parquet(f"{tmp_path}/partsupp.parquet").limit(0).write.mode("overwrite").parquet(f"{tmp_path}/none.parquet")
+    os.rename(f"{tmp_path}/partsupp.parquet", f"{tmp_path}/old"), os.rename(f"{tmp_path}/none.parquet", f"{tmp_path}/partsupp.parquet")
+    assert REGISTRY["q9_yearly"][0](spark, str(tmp_path)).count() == 0
+
+
 def test_q3(spark, tmp_path):
     lines = [(10, "1995-03-16", 100, 0.10), (10, "1995-03-15", 999, 0), (10, "1995-04-01", 50, 0), (11, "1995-03-20", 70, 0), (0, "1995-03-20", 140, 0), (12, "1995-03-20", 80, 0)]
     t = load(
@@ -105,6 +123,58 @@ def test_reader(spark, tmp_path):
         validate_dataset(spark, str(tmp_path / "out"), ("region",), {"region": 2})
 
 
+def test_load_with_check_and_reload(spark, tmp_path):
+    write(tmp_path, "region", [{"r_regionkey": k} for k in range(3)])
+    write(tmp_path, "nation", [{"n_nationkey": k} for k in range(2)])
+    size = os.path.getsize(tmp_path / "region.tbl")
+    assert verify_delimited(spark, str(tmp_path), ("region", "nation"))["region"] == (size, 3)
+    with pytest.raises(ValueError, match="part"):
+        verify_delimited(spark, str(tmp_path), ("region", "part"))
+    out, want = f"{tmp_path}/out", {"region": 3, "nation": 2}
+    assert load_checked(spark, str(tmp_path), out, want, tuple(want)) == want
+    before = os.listdir(f"{out}/nation.parquet")
+    table(spark, out, "region").limit(1).write.parquet(f"{tmp_path}/short")
+    spark.read.parquet(f"{tmp_path}/short").write.mode("overwrite").parquet(f"{out}/region.parquet")
+    assert load_checked(spark, str(tmp_path), out, want, tuple(want)) == want
+    assert os.listdir(f"{out}/nation.parquet") == before  # what was right isn't loaded again
+    with pytest.raises(ValueError):
+        load_checked(spark, str(tmp_path), out, {"region": 4}, ("region",))
+
+
+def test_result_logs(spark, tmp_path):
+    ours, golden = f"{tmp_path}/ours", f"{tmp_path}/golden"
+    for folder in (ours, golden):
+        write_logs(spark, "/root/testdata/sf0.001", folder, ("q1", "q6", "q13"))
+    assert compare(ours, golden) == []
+    lines = (tmp_path / "ours/q13.csv").read_text().splitlines()
+    assert lines[0] == "c_count,custdist" and len(lines) == 10
+    (tmp_path / "ours/q13.csv").write_text("\n".join([lines[0], lines[2], lines[1], *lines[3:]]))
+    (tmp_path / "ours/q6.csv").unlink()
+    assert [x.split(":")[0] for x in compare(ours, golden)] == ["q13", "q6"]
+
+
+def test_micro_metrics(spark):
+    folder = "/root/testdata/sf0.001"
+    found = {m["query"]: m for group in micro.MICRO.values() for m in group(spark, folder, 1)}
+    assert found["selection_lt_1000"]["matches"] == 6000 and found["selection_lt_1000"]["selectivity_pct"] == 100
+    assert found["aggregation_sum_quantity"]["sum"] == 152257.0 and found["aggregation_sum_quantity"]["gb_s"] > 0
+    join = found["join_semi_count"]
+    assert join["matches"] == 6000 and join["ms"] == pytest.approx(join["build_ms"] + join["probe_ms"])
+
+
+def test_interval_cutoff(spark, tmp_path):
+    t = load(spark, tmp_path, lineitem=[{"l_shipdate": d, "l_quantity": 1} for d in ("1998-09-02", "1998-09-03", "1998-10-02")])
+    assert [tpch.q1(t, p).first().count_order for p in (tpch.Q1(), tpch.Q1(days=89), tpch.Q1(days=60))] == [1, 2, 3]
+
+
+def test_entry_without_the_libraries_of_the_subpackage(tmp_path):
+    (tmp_path / "regex.py").write_text("raise ImportError('not here')")
+    code = "import __spark_entry__ as e; print(len(e.queries()), 'q3' in e.queries(), any(k.startswith('op') for k in e.queries()))"
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    run = subprocess.run([sys.executable, "-c", code], cwd=top, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    assert run.stdout.split()[-2:] == ["True", "False"]
+
+
 def test_stream_agrees_with_batch(spark, tmp_path):
     path = "/root/testdata/sf0.001/lineitem.parquet"
     batch = spark.read.parquet(path)
@@ -134,7 +204,6 @@ def test_report(tmp_path):
 def test_schema_is_read_again_after_a_change(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
     assert table(spark, str(tmp_path), "t").columns == table(spark, str(tmp_path), "t").columns == ["id"]
-    time.sleep(1.1)
     spark.range(3).selectExpr("id AS other").write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
     assert table(spark, str(tmp_path), "t").columns == ["other"]
 

@@ -19,9 +19,13 @@ def db():
     return con
 
 
-def rows_of(names, rows):
+def as_text(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted((tuple(str(r[i]) if r[i] is None or not isinstance(r[i], float) else repr(r[i]) for i in order) for r in rows))
+    return [tuple(str(r[i]) if r[i] is None or not isinstance(r[i], float) else repr(r[i]) for i in order) for r in rows]
+
+
+def rows_of(names, rows):
+    return sorted(as_text(names, rows))
 
 
 def compare(con, df, sql):
@@ -31,6 +35,8 @@ def compare(con, df, sql):
     got, want = df.collect(), cur.fetchall()
     assert len(got) == len(want)
     assert rows_of(df.columns, got) == rows_of(names, want)
+    if "ORDER BY" in sql.rpartition(")")[2]:  # of the whole query
+        assert as_text(df.columns, got) == as_text(names, want)
 
 
 @pytest.mark.parametrize("name", sorted(REGISTRY))
@@ -74,3 +80,33 @@ def test_metamorphic(spark):
     assert a <= b <= c
     assert sum(r.custdist for r in get("q13")) == spark.read.parquet(f"{SF}/customer.parquet").count()
     assert math.isclose(sum(r.sum_profit for r in get("q9")), sum(r.sum_profit for r in get("q9_yearly")), abs_tol=1)
+
+
+def test_ordered_queries_are_compared_in_order():
+    ordered = {k for k, (_, sql) in REGISTRY.items() if "ORDER BY" in sql.rpartition(")")[2]}
+    assert ordered >= {"q1", "q1_cent_rounded", "q3", "q9", "q9_yearly", "q13", "q3_sql", "q9_sql", "q13_sql"}
+
+
+def test_q9_reads_lineitem_once(spark):
+    plan = plan_of(REGISTRY["q9"][0](spark, SF)).split("== Physical Plan ==")[1]
+    assert plan.count("lineitem.parquet") == 1 and "l_returnflag" not in plan
+
+
+#: Values that the fixtures' description gives for the three sizes.
+KNOWN = {
+    "selection_lt_1000": (6000, 29981, 29842),
+    "selection_lt_10000": (6000, 60000, 300119),
+    "aggregation_sum_quantity": (152257.0, 1524135.0, 15300431.0),
+    "join_semi_count": (6000, 60000, 600000),
+    "join_inner_count": (6000, 60000, 600000),
+    "q6": (429647.47, 4050706.29, 38558394.0),
+    "q6_reference_window": (None, None, None),
+}
+
+
+@pytest.mark.parametrize("k, scale", [(0, "0.001"), (1, "0.01"), (2, "0.1")])
+def test_known_values(spark, k, scale):
+    folder = f"/root/testdata/sf{scale}"
+    got = {name: REGISTRY[name][0](spark, folder).first()[0] for name in KNOWN}
+    assert got == {name: values[k] for name, values in KNOWN.items()}
+    assert [REGISTRY[name][0](spark, folder).count() for name in ("q1", "q3", "q9", "q9_yearly", "q13")] == [[6, 10, 70, 7, 9], [6, 10, 175, 7, 10], [6, 10, 175, 7, 13]][k]
