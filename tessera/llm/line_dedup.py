@@ -165,17 +165,18 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 ORACLE = r"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM t),
-w AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^\x20\x09\x0B-\x0D]+') AS w FROM l),
-d AS (SELECT array_to_string(w, ' ') AS k, any_value(w) AS w, min({'d': doc_id, 'l': line_no}) AS at FROM w WHERE len(w) > 0 GROUP BY 1),
-u AS (SELECT at, 'w' AS unit, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, w, k FROM d WHERE len(w) >= 4
-  UNION ALL SELECT at, 'c', length(k), unnest(range(1, length(k) + 1)), w, k FROM d WHERE len(w) < 5 AND length(k) >= 4),
-v AS (SELECT at, unit, n, i, k, CASE WHEN unit = 'w' THEN array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ')
+w AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^\x20\x09\x0B-\x0D]+') AS w, array_to_string(w, ' ') AS k FROM l),
+f AS (SELECT k, any_value(w) AS w, min({'d': doc_id, 'l': line_no}) AS first FROM w WHERE len(w) > 0 GROUP BY k),
+d AS (SELECT k, w, first, row_number() OVER (ORDER BY first) AS p FROM f),
+u AS (SELECT p, 'w' AS unit, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, w, k FROM d WHERE len(w) >= 4
+  UNION ALL SELECT p, 'c', length(k), unnest(range(1, length(k) + 1)), w, k FROM d WHERE len(w) < 5 AND length(k) >= 4),
+v AS (SELECT p, unit, n, i, k, CASE WHEN unit = 'w' THEN array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ')
   ELSE substring(k, 1, i - 1) || substring(k, i + 1) END AS key FROM u),
-hubs AS (SELECT unit, n, i, key, min(at) AS hub FROM v WHERE n >= 5 GROUP BY ALL),
-m AS (SELECT v.at, hubs.hub FROM v JOIN hubs USING (unit, n, i, key) WHERE hubs.hub < v.at
-  UNION ALL SELECT greatest(a.at, b.at), least(a.at, b.at) FROM v a JOIN (SELECT DISTINCT at, unit, n, k FROM v) b ON a.unit = b.unit AND a.n = b.n + 1 AND a.key = b.k WHERE a.n >= 5),
-near AS (SELECT at, min(hub) AS hub FROM m GROUP BY at),
-keep AS (SELECT d.k, coalesce(near.hub, d.at) AS keep FROM d LEFT JOIN near ON near.at = d.at),
-o AS (SELECT w.doc_id, CAST(w.line_no AS INTEGER) AS line_no, coalesce(keep.keep.d, w.doc_id) AS keep_doc_id, CAST(coalesce(keep.keep.l, w.line_no) AS INTEGER) AS keep_line_no
-  FROM w LEFT JOIN keep ON keep.k = array_to_string(w.w, ' '))
+hubs AS (SELECT unit, n, i, key, min(p) AS hub FROM v WHERE n >= 5 GROUP BY unit, n, i, key),
+m AS (SELECT v.p, hubs.hub FROM v JOIN hubs USING (unit, n, i, key) WHERE hubs.hub < v.p
+  UNION ALL SELECT greatest(a.p, b.p), least(a.p, b.p) FROM v a JOIN (SELECT DISTINCT p, unit, n, k FROM v) b ON a.unit = b.unit AND a.n = b.n + 1 AND a.key = b.k WHERE a.n >= 5),
+near AS (SELECT p, min(hub) AS hub FROM m GROUP BY p),
+keep AS (SELECT d.k, coalesce(h.first, d.first) AS keep FROM d LEFT JOIN near ON near.p = d.p LEFT JOIN d h ON h.p = near.hub),
+o AS (SELECT w.doc_id, CAST(w.line_no AS INTEGER) AS line_no, coalesce(keep.keep['d'], w.doc_id) AS keep_doc_id, CAST(coalesce(keep.keep['l'], w.line_no) AS INTEGER) AS keep_line_no
+  FROM w LEFT JOIN keep ON len(w.w) > 0 AND keep.k = w.k)
 SELECT doc_id, line_no, doc_id = keep_doc_id AND line_no = keep_line_no AS kept, keep_doc_id, keep_line_no FROM o"""

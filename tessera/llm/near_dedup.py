@@ -157,13 +157,21 @@ def _keep_agreeing(batches: Iterator[pa.RecordBatch], at: Threshold) -> Iterator
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in range(2)], ["a", "b"])
 
 
+#: Characters of texts whose sets a worker remembers.
+REMEMBERED = 2 << 20
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], at: Threshold) -> Iterator[pa.RecordBatch]:
-    cached = functools.lru_cache(maxsize=64)(shingles)
+    sets: dict[str, np.ndarray] = {}
+    held = 0
     for batch in slices(batches, 256):
         linked = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            p, q = cached(x), shingles(y)
-            linked.append(_linked(p, q, at.percent))
+            if x not in sets:
+                if held + len(x) > REMEMBERED:
+                    sets, held = {}, 0
+                sets[x], held = shingles(x), held + len(x)
+            linked.append(_linked(sets[x], shingles(y), at.percent))
         mask = pa.array(linked, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
