@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import itertools
+import os
 import random
 import re
 import tracemalloc
@@ -269,6 +270,47 @@ def test_chat_of_long_texts_in_bounded_memory():
     assert digest.n_turns == 256 and digest.loss.hexdigest() == hashlib.sha256("".join(text.to_pylist()[1::2]).encode()).hexdigest()
 
 
+class _Cluster:
+    """As much of a session as looking for the checkpoint folder needs."""
+
+    def __init__(self, master, **conf):
+        self.sparkContext, self.conf, self.master, self.folder = self, conf, master, None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            common.ensure_checkpoint_dir(_Cluster(master))
+        named = _Cluster(master, **{"spark.checkpoint.dir": "hdfs://shared/folder"})
+        common.ensure_checkpoint_dir(named)
+        assert named.folder == "hdfs://shared/folder"
+
+
+def test_checkpoints_are_deleted_when_used_up(spark):
+    frame = common.cut(spark.range(5))
+    folder = frame._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.isdir(folder) and frame.count() == 5
+    common.used_up(frame)
+    assert not os.path.exists(folder)
+
+
+def test_batch_lengths_of_the_session_are_left_alone(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.getAll.get(key)
+    spark.conf.set(key, "77")
+    try:
+        assert html_text.extract(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")).count() == 1
+        assert spark.conf.get(key) == "77"
+    finally:
+        spark.conf.set(key, old) if old else spark.conf.unset(key)
+
+
 def test_slices_are_bounded_in_rows_and_bytes():
     rows = ["x" * n for n in (10, 5_000_000, 20, 30, 3_000_000, 3_000_000, 1)] + [None] * 1500
     got = list(common.slices(iter([pa.RecordBatch.from_arrays([pa.array(rows)], ["t"])])))
